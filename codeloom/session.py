@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "codeloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in every Python worker, once a session.
+
+    The driver serves the archive to the executors; where the workers can import the
+    package anyway, this changes nothing.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_codeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="codeloom-")) / "codeloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*")):
+            if f.is_file() and "__pycache__" not in f.parts:
+                z.write(f, Path("codeloom") / f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._codeloom_shipped = True
