@@ -136,7 +136,7 @@ def messages(text: str | None) -> Iterator[tuple[int, str]]:
         if not line.startswith((" ", "\t")):
             before = line
         if _filler(body):
-            yield 2, "filler"
+            yield 2, "filler"  # random words have no template
         if _EMPTY.search(body) and not body.lstrip().startswith(("|", "-")):
             yield 1, "<slot>empty"
         for s in _SENTENCE.split(body.strip()):
@@ -268,7 +268,8 @@ def template_verdicts(found: DataFrame, leaf_rows: int = 100_000) -> DataFrame:
     free = lambda c: F.when(c.startswith("<slot>"), F.lit("<*>")).otherwise(c)
     distinct = found.where("kind < 2").groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     leaves = distinct.withColumn("leaf", F.xxhash64(F.size(parts), free(first(0)), free(first(1))))
-    hot = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > leaf_rows).select("leaf", F.ceil(F.col("_rows") / leaf_rows).cast("int").alias("_parts"))
+    # All columns are used here, so that both uses of ``leaves`` read one exchange.
+    hot = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_n"), F.max("kind").alias("_kind")).where((F.col("_rows") > leaf_rows) & (F.col("_n") > 0) & (F.col("_kind") < 2)).select("leaf", F.ceil(F.col("_rows") / leaf_rows).cast("int").alias("_parts"))
     keyed = leaves.join(hot, "leaf", "left").select(F.xxhash64("leaf", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("message"), F.col("_parts")))).alias("leaf"), "message", "n", "kind")
     return keyed.repartition(n, "leaf").sortWithinPartitions("leaf", "message").mapInArrow(_mine_partition, "message string, verdict string, template string")
 
@@ -282,8 +283,7 @@ def residue_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     share is joined in ``salt`` parts.
     """
     found = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_explode, MESSAGES)
-    verdicts = template_verdicts(found).select(F.xxhash64("message").alias("_m"), "message", "verdict").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    rows = found.where("kind < 2").select("doc_id", "message", F.xxhash64("message").alias("_m"), F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int").alias("_salt"))
-    by_template = rows.join(verdicts, ["_m", "_salt", "message"]).select("doc_id", "verdict")
-    filler = found.where("kind = 2").select("doc_id", F.lit("filler").alias("verdict"))
-    return by_template.unionByName(filler).distinct()
+    lines = df.sparkSession.createDataFrame([("filler", "filler")], "message string, verdict string")
+    verdicts = template_verdicts(found).select("message", "verdict").unionByName(lines).select(F.xxhash64("message").alias("_m"), "message", "verdict").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    rows = found.select("doc_id", "message", F.xxhash64("message").alias("_m"), F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int").alias("_salt"))
+    return rows.join(verdicts, ["_m", "_salt", "message"]).select("doc_id", "verdict").distinct()
