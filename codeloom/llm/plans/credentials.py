@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.secrets import redacted_files, secret_lines
+from codeloom.llm.credentials import redacted_files, secret_lines
 from codeloom.session import table
 
 

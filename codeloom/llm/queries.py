@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("syntax", "handwritten", "secrets", "residue")
+_MODULES = ("syntax", "handwritten", "credentials", "packing", "mixing", "residue")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 for _m in _MODULES:
