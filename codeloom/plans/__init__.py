@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("snapshots", "nested")
+MODULES = ("snapshots", "nested", "governance")
 
 
 def _loaded():

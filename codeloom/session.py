@@ -23,6 +23,7 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "codeloom") ->
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
