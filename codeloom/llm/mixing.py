@@ -4,8 +4,8 @@ Sainte-Laguë apportionment: blocks of equal size go one after another to the so
 the highest quotient share / (2 * blocks so far + 1) that can still supply a block, which
 gives every source an integer quota. A source's quota is apportioned to its shards of
 documents by their sizes in the same way. In a shard, documents come in a seeded order; the
-shard is used as often as its quota holds it whole, and what is left is taken from the
-beginning of that order.
+shard is used as often as its quota holds it whole, and what is left is filled in that
+order with the documents that fit.
 """
 
 from __future__ import annotations
@@ -116,6 +116,22 @@ def _share_out(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["mix_name", "source", "shard", "shard_tokens", "shard_blocks", "block_tokens"]]
 
 
+def _draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Uses of each document of one shard: whole rounds, then documents in their seeded order as long as they fit."""
+    pdf = pdf.sort_values(["_order", "doc_id"], kind="stable")
+    want = int(pdf["shard_blocks"].iloc[0]) * int(pdf["block_tokens"].iloc[0])
+    rounds, rest = divmod(want, int(pdf["shard_tokens"].iloc[0]))
+    times = np.full(len(pdf), rounds, np.int64)
+    if rounds < int(pdf["max_repeats"].iloc[0]):
+        for i, size in enumerate(pdf["n_tokens"].tolist()):
+            if size <= rest:
+                times[i] += 1
+                rest -= size
+                if not rest:
+                    break
+    return pd.DataFrame({"mix_name": pdf["mix_name"], "source": pdf["source"], "doc_id": pdf["doc_id"], "n_tokens": pdf["n_tokens"], "times": times.astype(np.int32)})
+
+
 DRAWN = "mix_name, source, doc_id, n_tokens, times"
 
 
@@ -136,16 +152,11 @@ def drawn(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFram
     docs = usable.join(p.where("blocks > 0"), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
     by_shard = docs.groupBy("mix_name", "source", "shard").agg(F.sum("n_tokens").alias("shard_tokens"), F.first("blocks").alias("blocks"), F.first("block_tokens").alias("block_tokens"), F.first("max_repeats").alias("max_repeats"))
     shares = by_shard.groupBy("mix_name", "source").applyInPandas(_share_out, "mix_name string, source string, shard int, shard_tokens bigint, shard_blocks bigint, block_tokens bigint")
-    w = Window.partitionBy("mix_name", "source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1), F.col("mix_name")), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     used = (
-        docs.select("mix_name", "source", "shard", "doc_id", "n_tokens", "max_repeats")
+        docs.select("mix_name", "source", "shard", "doc_id", "n_tokens", "max_repeats", F.xxhash64("doc_id", F.lit(seed + 1), F.col("mix_name")).alias("_order"))
         .join(shares, ["mix_name", "source", "shard"])
-        .withColumn("_upto", F.sum("n_tokens").over(w))
-        .withColumn("_want", F.col("shard_blocks") * F.col("block_tokens"))
-        .withColumn("_rounds", F.floor(F.col("_want") / F.col("shard_tokens")))
-        .withColumn("_rest", F.col("_want") - F.col("_rounds") * F.col("shard_tokens"))
-        # A document at the edge is taken if the edge lies beyond its middle.
-        .withColumn("times", F.least(F.col("_rounds") + F.when(F.col("_upto") - F.col("n_tokens") / 2 < F.col("_rest"), 1).otherwise(0), F.col("max_repeats")).cast("int"))
+        .groupBy("mix_name", "source", "shard")
+        .applyInPandas(_draw, "mix_name string, source string, doc_id bigint, n_tokens bigint, times int")
     )
     return used.where("times > 0").select(*DRAWN.split(", ")), plan
 
