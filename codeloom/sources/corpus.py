@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +25,56 @@ def project_root(paths: list[str]) -> str:
     return first if os.path.isdir(first) else os.path.dirname(first)
 
 
-def tree(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-01, SRC-06: ``path`` (relative, POSIX), ``size``, ``modified``, ``data`` of all files below a folder. Listing and reading are Spark's."""
+TREE = "path string, size bigint, modified timestamp, is_link boolean, data binary"
+
+
+def tree(spark: SparkSession, root: str, largest: int = LARGEST) -> DataFrame:
+    """SRC-01, SRC-06: ``path`` (relative, POSIX), ``size``, ``modified``, ``is_link``, ``data`` of all files below a folder that all executors see.
+
+    Spark's own file sources leave out names that begin with a dot or an underscore, package
+    initialisers among them, so folders are walked in the tasks: the driver lists only the
+    first levels, until there are enough folders to share out. Files beyond ``largest``
+    bytes come without their data; links aren't followed and have none.
+    """
+    units, level = [("", True)], 0
+    while level < 3 and len(units) < 4 * spark.sparkContext.defaultParallelism:
+        level += 1
+        units = [x for u, folder in units for x in ([(os.path.join(u, e.name), e.is_dir(follow_symlinks=False)) for e in os.scandir(os.path.join(root, u))] if folder else [(u, False)])]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "size", "modified", "is_link", "data"]
+        types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.binary()]
+        for b in batches:
+            for unit, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows, held = [], 0
+                found = ((d, f) for d, _, fs in os.walk(os.path.join(root, unit)) for f in sorted(fs)) if folder else [(os.path.join(root, os.path.dirname(unit)), os.path.basename(unit))]
+                for d, f in found:
+                    full = os.path.join(d, f)
+                    st = os.lstat(full)
+                    link = os.path.islink(full)
+                    data = None
+                    if not link and st.st_size <= largest:
+                        with open(full, "rb") as h:
+                            data = h.read()
+                    held += len(data or b"")
+                    rows.append((os.path.relpath(full, root).replace(os.sep, "/"), st.st_size, datetime.fromtimestamp(st.st_mtime, UTC), link, data))
+                    if held > 8_000_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], names)
+
+    if not units:
+        return spark.createDataFrame([], TREE)
+    return spark.createDataFrame(units, "unit string, folder boolean").repartition(max(1, min(len(units), 10_000))).mapInArrow(walk, TREE)
+
+
+def object_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The same columns from an object store by Spark's ``binaryFile`` source, which leaves out hidden names."""
     base = root.rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # The listing gives URLs; everything up to the root's own path is cut.
     rel = F.substr("path", F.locate(base, F.col("path")) + len(base))
-    return df.select(F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").alias("data"))
+    return df.select(F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("is_link"), F.col("content").alias("data"))
 
 
 def ignored(path: Column, folders: tuple[str, ...] = IGNORED) -> Column:
@@ -43,7 +89,7 @@ def scanned(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, folders:
 def routed(files: DataFrame, largest: int = LARGEST) -> DataFrame:
     """SRC-02, SRC-04: adds ``content`` and ``status``: ``row``, or the reason of a skip: binary, large, encoding, blank."""
     text = F.try_validate_utf8(F.col("data").cast("string"))
-    status = F.when(suffix(F.col("path")).isin(*BINARY), "binary").when(F.col("size") > largest, "large").when(text.isNull(), "encoding").when(text.rlike(r"^\s*$"), "blank").otherwise("row")
+    status = F.when(suffix(F.col("path")).isin(*BINARY), "binary").when(F.col("is_link"), "link").when(F.col("size") > largest, "large").when(text.isNull(), "encoding").when(text.rlike(r"^\s*$"), "blank").otherwise("row")
     return files.withColumn("status", status).withColumn("content", F.when(F.col("status") == "row", text)).drop("data")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +118,6 @@ def package_json(texts: DataFrame) -> DataFrame:
 
 def pyproject(texts: DataFrame) -> DataFrame:
     """SRC-15: ``section, spec`` of PEP 621 and poetry dependencies; unreadable files give none."""
-    import pandas as pd
-
     def run(s: pd.Series) -> pd.Series:
         import tomllib
 
