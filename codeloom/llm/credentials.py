@@ -187,8 +187,9 @@ def find_secrets(text: str, path: str, dictionary: Dictionary) -> list[Span]:
         end = _PEM_END.search(text, m.end())
         nxt = _PEM.search(text, m.end())
         stop = end.end() if end and (not nxt or end.start() < nxt.start()) else m.end() + len(_PEM_BODY.match(text, m.end())[0])
-        if re.search(r"(?i)example|dummy|placeholder|redacted", text[m.end() : stop][:200]):
-            continue
+        body = _PEM_END.sub("", text[m.end() : stop])
+        if re.search(r"(?i)example|dummy|placeholder|redacted", body[:200]) or len(set(re.findall(r"\w", re.sub(r"\\[nr]", "", body)))) < 4:
+            continue  # a stand-in, or masked
         found.append(Span(m.start(), stop, "private key"))
     for m in _FORMAT.finditer(text):
         v = m[0]

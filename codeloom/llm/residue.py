@@ -238,6 +238,8 @@ def _mine_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             verdict = found.get(key)
             if verdict is None:
                 verdict = found[key] = classify(template)
+            if verdict == "ordinary" and "<*>" in template:
+                verdict = classify(tok)  # wildcards may have taken what tells this message apart
             if verdict == "ordinary" and kind == 1:
                 verdict = slot_verdict(template, tok)
             if verdict != "ordinary":
