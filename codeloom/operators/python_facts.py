@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import module_name
+from codeloom.session import spread
 
 FACTS = "payload_id bigint, project_root string, path string, module string, kind string, line int, owner string, raw string, canonical string, text string, n_args int, first_arg string, keywords map<string,string>, flags array<string>"
 
@@ -238,7 +239,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def python_sources(corpus: DataFrame) -> DataFrame:
     """The Python files with content; the filter runs before Python sees a row."""
     path = F.coalesce("path", F.lit(""))
-    return corpus.where(path.endswith(".py") & F.col("content").isNotNull()).select(F.col("payload_id").cast("bigint").alias("payload_id"), "project_root", path.alias("path"), module_name(path).alias("module"), "content")
+    rows = corpus.where(path.endswith(".py") & F.col("content").isNotNull()).select(F.col("payload_id").cast("bigint").alias("payload_id"), "project_root", path.alias("path"), module_name(path).alias("module"), "content")
+    return spread(rows, "payload_id")
 
 
 def python_facts(corpus: DataFrame) -> DataFrame:

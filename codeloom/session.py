@@ -75,3 +75,13 @@ def ship_package(spark: SparkSession) -> None:
                 z.write(f, Path("codeloom") / f.relative_to(root))
     sc.addPyFile(str(archive))
     sc._codeloom_shipped = True
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, if they come in fewer partitions than there are cores.
+
+    A table in one small file is one task, however much work each row is. A table that
+    already has a partition for each core is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
