@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 TOKENIZER_DIR = os.environ.get("CODELOOM_TOKENIZERS", "/opt/tokenizers")
 
 # Short words and stand-ins that a word list of longer words lacks.
@@ -315,7 +317,7 @@ def secret_lines(df: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
                     kinds.append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(kinds, pa.string())], ["payload_id", "line_number", "kind"])
 
-    return _rows(df).where("content IS NOT NULL").mapInArrow(run, FOUND)
+    return spread(_rows(df).where("content IS NOT NULL"), "payload_id").mapInArrow(run, FOUND)
 
 
 def redacted_files(df: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
@@ -334,4 +336,4 @@ def redacted_files(df: DataFrame, folder: str = TOKENIZER_DIR) -> DataFrame:
                 texts.append(redact(text, spans) if spans else text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(texts, pa.string())], ["payload_id", "n_secrets", "content"])
 
-    return _rows(df).mapInArrow(run, REDACTED)
+    return spread(_rows(df), "payload_id").mapInArrow(run, REDACTED)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import shuffle_partitions
+from codeloom.session import shuffle_partitions, spread
 
 # Openings of messages that stand where content should be, in lower case,
 # with <*> for numbers, ids and paths. A message has to begin with one.
@@ -284,7 +284,7 @@ def residue_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same id are one document. Whole texts are read. A message that a third of all documents
     share is joined in ``salt`` parts.
     """
-    found = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(_explode, MESSAGES)
+    found = spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL"), "doc_id").mapInArrow(_explode, MESSAGES)
     lines = df.sparkSession.createDataFrame([("filler", "filler")], "message string, verdict string")
     verdicts = template_verdicts(found).select("message", "verdict").unionByName(lines).select(F.xxhash64("message").alias("_m"), "message", "verdict").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     rows = found.select("doc_id", "message", F.xxhash64("message").alias("_m"), F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int").alias("_salt"))

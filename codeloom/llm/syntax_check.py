@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import lexers
 from codeloom.llm.parse_tables import Parser, compile_grammar
+from codeloom.session import spread
 
 # Suffix -> language.
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".go": "go", ".json": "json", ".yml": "yaml", ".yaml": "yaml"}
@@ -107,7 +108,7 @@ def checked_files(df: DataFrame) -> DataFrame:
     itself; ids and roots may be null. Whole texts are read, one batch at a time. No shuffle.
     """
     rows = df.select(F.col("payload_id").cast("bigint").alias("payload_id"), F.col("project_root").cast("string").alias("project_root"), language_of(F.col("path")).alias("language"), F.col("content").cast("string").alias("content"))
-    return rows.where("language IS NOT NULL AND content IS NOT NULL").mapInArrow(_check, CHECKED)
+    return spread(rows.where("language IS NOT NULL AND content IS NOT NULL"), "payload_id").mapInArrow(_check, CHECKED)
 
 
 def error_rates(checked: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 TOKENIZER_DIR = os.environ.get("CODELOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary cuts text before merging.
@@ -58,4 +60,4 @@ def sized(df: DataFrame, keep: list[str], text: str = "text", folder: str = TOKE
 
     narrow = df.select(*keep, F.col(text).cast("string").alias("_text"))
     fields = ", ".join(f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep)
-    return narrow.mapInArrow(run, f"{fields}, n_tokens bigint")
+    return spread(narrow, keep[0]).mapInArrow(run, f"{fields}, n_tokens bigint")
