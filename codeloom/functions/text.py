@@ -11,8 +11,9 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 def lines_of(content: Column) -> Column:
     """Array of the lines of a text, without a last empty one."""
-    parts = F.split(content, LINE_ENDS)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    # The text is split once: the lambda binds the result.
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return F.get(F.transform(F.array(F.split(content, LINE_ENDS)), whole), F.lit(0))
 
 
 def explode_lines(df: DataFrame, content: str = "content") -> DataFrame:

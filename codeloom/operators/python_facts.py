@@ -321,7 +321,7 @@ def rule_findings(facts: DataFrame, rules: list[FactRule] | None = None) -> Data
     """``payload_id, project_root, path, line, rule_id, severity, owner`` of every rule, in one pass over the facts."""
     rules = fact_rules() if rules is None else rules
     hits = [F.when((F.col("kind") == r.kind) & F.coalesce(r.test, F.lit(False)), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for r in rules]
-    return facts.withColumn("_h", F.array_compact(F.array(*hits))).where(F.size("_h") > 0).select("payload_id", "project_root", "path", "line", "owner", F.inline("_h"))
+    return facts.select("payload_id", "project_root", "path", "line", "owner", F.inline(F.array_compact(F.array(*hits))))
 
 
 def duplicate_definitions(facts: DataFrame) -> DataFrame:
