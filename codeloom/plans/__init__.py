@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("snapshots", "nested", "governance", "lines", "python_code", "graphs", "integrity", "structure", "claims")
+MODULES = ("snapshots", "nested", "governance", "lines", "python_code", "graphs", "integrity", "structure", "claims", "audits")
 
 
 def _loaded():
