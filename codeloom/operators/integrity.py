@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import configparser
 import io
+import re
 import tomllib
 import xml.etree.ElementTree as ET
 import zipfile
@@ -78,7 +79,47 @@ def hygiene(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.explode(found).alias("rule_id"))
 
 
+def _yaml(text: str) -> str | None:
+    """STRUCT004 a tab at the start of a line, STRUCT005 brackets that don't balance in a line,
+    STRUCT009 a key twice in an inline map, STRUCT007 a key twice in one block.
+
+    Open blocks are a stack of (indent, keys); a list item opens a new block at the indent of its
+    first key, and a line of less indent closes the deeper ones.
+    """
+    blocks: list[tuple[int, set[str]]] = []
+    for line in text.splitlines():
+        if line.startswith("\t"):
+            return "STRUCT004"
+        if line.count("[") != line.count("]") or line.count("{") != line.count("}"):
+            return "STRUCT005"
+        body = line.strip()
+        if not body or body.startswith("#"):
+            continue
+        for inner in re.findall(r"\{([^{}]*)\}", body):
+            keys = [k.strip(" '\"") for k in re.findall(r"(?:^|,)\s*([^,:]+):", inner)]
+            if len(keys) != len(set(keys)):
+                return "STRUCT009"
+        indent = len(line) - len(line.lstrip(" "))
+        fresh = False
+        while body.startswith("- "):
+            blocks = [b for b in blocks if b[0] <= indent]
+            rest = body[2:].lstrip(" ")
+            indent, body, fresh = indent + len(body) - len(rest), rest, True
+        m = re.match(r"([^\s:]+)\s*:(?:\s|$)", body)
+        if not m:
+            continue
+        blocks = [b for b in blocks if b[0] < indent or (b[0] == indent and not fresh)]
+        if not blocks or blocks[-1][0] < indent:
+            blocks.append((indent, set()))
+        if m[1] in blocks[-1][1]:
+            return "STRUCT007"
+        blocks[-1][1].add(m[1])
+    return None
+
+
 def _structured(suffix_: str, text: str) -> str | None:
+    if suffix_ in (".yml", ".yaml"):
+        return _yaml(text)
     try:
         if suffix_ == ".toml":
             tomllib.loads(text)
@@ -98,14 +139,14 @@ def _structured(suffix_: str, text: str) -> str | None:
 
 
 def structured_errors(df: DataFrame, keys: list[str]) -> DataFrame:
-    """P-14: JSON (also repeated keys), TOML, XML and INI files that can't be read: ``*keys, rule_id``.
+    """P-14, W-09: JSON (also repeated keys), TOML, XML, INI and YAML files that can't be read: ``*keys, rule_id``.
 
     JSON is checked in the JVM; only the other formats go through Python.
     """
     rows = df.where("content IS NOT NULL").withColumn("_s", suffix(F.col("path")))
     json_bad = rows.where((F.col("_s") == ".json") & F.try_parse_json("content").isNull()).select(*keys, F.lit("STRUCT001").alias("rule_id"))
     check = F.pandas_udf(lambda s, t: pd.Series([_structured(a, b) for a, b in zip(s, t, strict=True)], dtype=object), "string")
-    other = rows.where(F.col("_s").isin(".toml", ".xml", ".svg", ".ini", ".cfg")).withColumn("rule_id", check("_s", "content")).where("rule_id IS NOT NULL").select(*keys, "rule_id")
+    other = rows.where(F.col("_s").isin(".toml", ".xml", ".svg", ".ini", ".cfg", ".yml", ".yaml")).withColumn("rule_id", check("_s", "content")).where("rule_id IS NOT NULL").select(*keys, "rule_id")
     return json_bad.unionByName(other)
 
 

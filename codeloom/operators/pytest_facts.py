@@ -50,6 +50,30 @@ def pytest_findings(facts: DataFrame) -> DataFrame:
     return skip.unionByName(bare).unionByName(broad)
 
 
+def completeness_findings(facts: DataFrame, least: float = 0.5) -> DataFrame:
+    """DF-25: ``project_root, rule_id, detail``.
+
+    PYTEST030 tests refer to no public symbol, PYTEST031 to less than ``least`` of at least
+    three, PYTEST032 a symbol that branches or raises is not referred to, PYTEST033 nothing
+    tests that a referred symbol raises, PYTEST034 all assertions only test for truth.
+    """
+    s = referenced(facts)
+    body = facts.where("kind = 'function'").select("project_root", F.concat_ws(".", "module", "canonical").alias("symbol"), F.element_at("keywords", F.lit("branches")).cast("int").alias("branches"), F.array_contains("flags", "raises").alias("raises"))
+    s = s.join(body.groupBy("project_root", "symbol").agg(F.max("branches").alias("branches"), F.bool_or("raises").alias("raises")), ["project_root", "symbol"], "left")
+    tests = facts.where(in_tests(F.col("path")))
+    with_tests = tests.select("project_root").distinct()
+    raised = tests.where("kind = 'call'").where(F.col("canonical").rlike(r"(^|\.)(raises|assertRaises\w*)$")).select("project_root").distinct()
+    asserted = tests.where("kind = 'assert'").groupBy("project_root").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").rlike(r"^[\w.]+$|^[\w.]+ is not None$|^True$")).alias("weak"))
+    g = s.join(with_tests, "project_root", "left_semi").groupBy("project_root").agg(F.count(F.lit(1)).alias("n"), F.count_if("covered").alias("c"), F.bool_or(F.col("covered") & F.coalesce("raises", F.lit(False))).alias("r"))
+    detail = F.format_string("%d of %d", "c", "n")
+    none = g.where("c = 0").select("project_root", F.lit("PYTEST030").alias("rule_id"), detail.alias("detail"))
+    few = g.where((F.col("c") > 0) & (F.col("c") < least * F.col("n")) & (F.col("n") >= 3)).select("project_root", F.lit("PYTEST031").alias("rule_id"), detail.alias("detail"))
+    risky = s.where(~F.col("covered") & ((F.col("branches") >= 2) | F.col("raises"))).select("project_root", F.lit("PYTEST032").alias("rule_id"), F.col("symbol").alias("detail"))
+    silent = g.where("r").join(raised, "project_root", "left_anti").select("project_root", F.lit("PYTEST033").alias("rule_id"), F.lit("").alias("detail"))
+    weak = asserted.where("n = weak").select("project_root", F.lit("PYTEST034").alias("rule_id"), F.format_string("%d", "n").alias("detail"))
+    return none.unionByName(few).unionByName(risky).unionByName(silent).unionByName(weak)
+
+
 def untyped_public(facts: DataFrame, budget: int = 0) -> DataFrame:
     """P-18: ``project_root, n`` of projects with more public functions without full annotations than the budget."""
     f = facts.where("kind = 'function'").where(F.array_contains("flags", "public") & ~F.array_contains("flags", "typed") & ~in_tests(F.col("path")))

@@ -28,6 +28,11 @@ def pytest_findings(spark, sf_dir):
     return T.pytest_findings(_facts(spark, sf_dir))
 
 
+def test_completeness(spark, sf_dir):
+    """DF-25."""
+    return T.completeness_findings(_facts(spark, sf_dir))
+
+
 def untyped_public(spark, sf_dir):
     """P-18."""
     return T.untyped_public(_facts(spark, sf_dir))
@@ -79,4 +84,4 @@ ORACLE = {
     "suite_inventory": "SELECT p_brand AS family, count(*) AS n FROM part GROUP BY 1",
     "branch_coverage": "SELECT p_partkey AS file, 50 - p_size AS missing, CASE WHEN p_size > 2 THEN 100.0 * p_size / 50 END::DOUBLE AS percent FROM part",
 }
-QUERIES = {n: globals()[n] for n in ("public_reference", "pytest_findings", "untyped_public", "mutation_candidates", "annoyance_index", "call_graph_summary", *ORACLE)}
+QUERIES = {n: globals()[n] for n in ("public_reference", "pytest_findings", "test_completeness", "untyped_public", "mutation_candidates", "annoyance_index", "call_graph_summary", *ORACLE)}

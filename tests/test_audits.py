@@ -27,6 +27,10 @@ def test_findings(facts):
     assert rows(T.untyped_public(facts)) == [("/p", 2)]
 
 
+def test_completeness(facts):
+    assert rows(T.completeness_findings(facts, 0.9)) == [("/p", "PYTEST031", "3 of 4"), ("/p", "PYTEST034", "1")]
+
+
 def test_attributes(spark):
     f = python_facts(spark.createDataFrame([(1, "/p", "a.py", "import json as j\nj.dumps(1)\nj.nope(1)\nother.x\n")], "payload_id bigint, project_root string, path string, content string"))
     assert rows(T.unknown_attributes(f, T.module_index(spark, ["json"], True)).select("name")) == [("json.nope",)]

@@ -64,6 +64,14 @@ def test_collisions_hygiene_structure_links(spark):
     assert rows(I.unresolved_links(links, files).distinct()) == [("p", "d/a.md", "c.md#z")]
 
 
+YAML = {"a: 1\nb:\n  a: 1\n": None, "a: 1\na: 2\n": "STRUCT007", "- a: 1\n  b: 2\n- a: 1\n": None, "- a: 1\n  a: 2\n": "STRUCT007", "k:\n  - a: 1\n    b: 1\n  - a: 2\nm:\n  a: 1\n": None, "a: {b: 1, b: 2}\n": "STRUCT009", "\ta: 1\n": "STRUCT004", "a: [1\n": "STRUCT005", "x:\n  a: 1\ny:\n  a: 1\n": None}
+
+
+@pytest.mark.parametrize("text,want", YAML.items())
+def test_yaml(text, want):
+    assert I._yaml(text) == want
+
+
 def test_zip(spark, tmp_path):
     for name, members in {"ok.zip": ["r/a", "r/b"], "bad.zip": ["r/a", "r/A", "../x"]}.items():
         b = io.BytesIO()
