@@ -67,8 +67,8 @@ def parse(text: str | None):
 class _Walk:
     """Collects the child records of one value after another."""
 
-    def __init__(self, layout: Layout, keep: bool) -> None:
-        self.layout, self.keep = layout, keep
+    def __init__(self, layout: Layout) -> None:
+        self.layout = layout
         self.rows: list[tuple] = []
 
     def column(self, root: int, name: str, text: str | None) -> None:
@@ -142,8 +142,8 @@ def _strings(texts: list[str]) -> pa.Array:
         return pa.array(_clean(texts), pa.string())
 
 
-def _walks(batches: Iterator[pa.RecordBatch], layout: Layout, keep: bool) -> Iterator[dict]:
-    walk = _Walk(layout, keep)
+def _walks(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[dict]:
+    walk = _Walk(layout)
     for b in batches:
         ids = b.column(0).to_pylist()
         columns = [(name, b.column(i + 1)) for i, name in enumerate(layout.columns)]
@@ -165,7 +165,7 @@ def child_paths(df: DataFrame, layout: Layout) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _walks(batches, layout, False):
+        for x in _walks(batches, layout):
             yield pa.RecordBatch.from_arrays([pa.array(x["root_id"], pa.int64()), _strings(x["child_path"]), _strings(x["parent_path"])], ["root_id", "child_path", "parent_path"])
 
     narrow = df.select(F.col(layout.root_id).cast("bigint").alias("_id"), *[F.col(c).cast("string") for c in layout.columns])
@@ -181,7 +181,7 @@ def child_records(df: DataFrame, layout: Layout) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in _walks(batches, layout, True):
+        for x in _walks(batches, layout):
             n = len(x["table"])
             texts = [json.dumps(_scalars(v, layout), ensure_ascii=True, separators=(",", ":")) for v in x["fields"]]
             yield pa.RecordBatch.from_arrays(

@@ -184,10 +184,10 @@ ORACLE = {
     "unused_suppressions": _N.rstrip()[:-1] + "), " + _S + " SELECT idx, rule_id FROM sup WHERE idx NOT IN (SELECT idx FROM m)",
     "suppression_errors": "SELECT * FROM (VALUES (1,'expired'),(2,'owner'),(2,'expires invalid')) t(idx, error)",
     "new_vs_baseline": _N + "SELECT n.row_id, n.fingerprint FROM norm n JOIN (SELECT project_root, max(snapshot_no) AS l FROM norm GROUP BY 1) e ON n.project_root = e.project_root AND n.snapshot_no = e.l WHERE rank >= 3 AND NOT EXISTS (SELECT 1 FROM norm b WHERE b.project_root = n.project_root AND b.fingerprint = n.fingerprint AND b.snapshot_no = (SELECT min(snapshot_no) FROM norm x WHERE x.project_root = n.project_root))",
-    "review_queues": _N + "SELECT project_root, snapshot_no, queue, place, row_id FROM (SELECT *, row_number() OVER (PARTITION BY project_root, snapshot_no, queue ORDER BY rank DESC, file, row_id) AS place FROM (SELECT *, CASE rank WHEN 4 THEN 'P0' WHEN 3 THEN 'P1' ELSE 'P2' END AS queue FROM norm)) WHERE place <= CASE queue WHEN 'P0' THEN 25 ELSE 50 END",
+    "review_queues": _N + "SELECT project_root, snapshot_no, queue, place::INT AS place, row_id FROM (SELECT *, row_number() OVER (PARTITION BY project_root, snapshot_no, queue ORDER BY rank DESC, file, row_id) AS place FROM (SELECT *, CASE rank WHEN 4 THEN 'P0' WHEN 3 THEN 'P1' ELSE 'P2' END AS queue FROM norm)) WHERE place <= CASE queue WHEN 'P0' THEN 25 ELSE 50 END",
     "review_plan_files": "SELECT file, count(*) AS n FROM issue_snapshots GROUP BY 1 ORDER BY n DESC, file LIMIT 20",
     "maturity_score": _N + "SELECT project_root, snapshot_no, greatest(least(100 - (18 * count(*) FILTER (rank = 4) + 8 * count(*) FILTER (rank = 3) + 3 * count(*) FILTER (rank = 2)), 100), 0) AS score FROM norm GROUP BY 1, 2",
-    "scorecard": _N + "SELECT project_root, greatest(100 - sum(CASE WHEN severity IN ('CRITICAL','HIGH') THEN 10 ELSE 3 END), 0) AS score FROM (SELECT DISTINCT project_root, detector, split_part(trim(category), ':', 1), severity FROM norm) GROUP BY 1",
+    "scorecard": _N + "SELECT project_root, greatest(100 - sum(CASE WHEN severity IN ('CRITICAL','HIGH') THEN 10 ELSE 3 END), 0)::BIGINT AS score FROM (SELECT DISTINCT project_root, detector, split_part(trim(category), ':', 1), severity FROM norm) GROUP BY 1",
     "gate_matrix": _N + "SELECT 'quality_matrix.' || detector AS gate, count(*) AS n, count(*) FILTER (rank >= 3) AS blockers, count(DISTINCT split_part(trim(category), ':', 1)) AS kinds FROM norm GROUP BY 1",
     "coverage_matrix": _N + "SELECT 'detector' AS dimension, detector AS value, count(*) AS n FROM norm GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM norm GROUP BY 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM norm GROUP BY 2",
     "trend_dashboard": _N + "SELECT project_root, snapshot_no, count(*) FILTER (rank = 4) AS CRITICAL, count(*) FILTER (rank = 3) AS HIGH, count(*) FILTER (rank = 2) AS MEDIUM, count(*) FILTER (rank = 1) AS LOW FROM norm GROUP BY 1, 2",

@@ -137,14 +137,14 @@ ORACLE = {
     "bounded_paths": _E + ", walk AS (SELECT graph, [src, dst] AS path, dst AS fin, 1 AS d FROM e UNION ALL SELECT w.graph, list_append(w.path, e.dst), e.dst, d + 1 FROM walk w JOIN e ON e.graph = w.graph AND e.src = w.fin WHERE d < 4 AND len(list_distinct(w.path)) = len(w.path)), s AS (SELECT graph, max(dst) AS fin FROM e GROUP BY 1) SELECT w.graph, array_to_string(w.path, '>') AS path FROM walk w JOIN s ON s.graph = w.graph AND s.fin = w.fin",
     "neighbourhood": _E + ", u AS (SELECT * FROM e UNION SELECT graph, dst, src FROM e), s AS (SELECT graph, min(src) AS node FROM e GROUP BY 1), w AS (SELECT graph, 0 AS hop, node FROM s UNION SELECT w.graph, hop + 1, u.dst FROM w JOIN u ON u.graph = w.graph AND u.src = w.node WHERE hop < 2) SELECT graph, min(hop) AS hop, node FROM w GROUP BY graph, node",
     "first_chain": _E + ", n AS (SELECT graph, src, min(dst) AS dst FROM e GROUP BY 1, 2), w AS (SELECT DISTINCT graph, src AS root, [src] AS chain, src AS at FROM e UNION ALL SELECT w.graph, root, list_append(chain, n.dst), n.dst FROM w JOIN n ON n.graph = w.graph AND n.src = w.at WHERE NOT list_contains(chain, n.dst) AND len(chain) <= 15) SELECT graph, root, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY 1, 2",
-    "drift_state": "SELECT event_id, score, run, score > 20.0 OR run >= 3 AS alert FROM (SELECT *, sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM (SELECT *, sum(step) OVER w AS score, sum(1 - bad) OVER w AS island FROM (SELECT *, CASE event_type WHEN 'error' THEN 1.0 WHEN 'signup' THEN 0.5 ELSE 0.0 END::DOUBLE AS step, (event_type IN ('error','signup'))::INT AS bad FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))",
+    "drift_state": "SELECT event_id, score, run::BIGINT AS run, score > 20.0 OR run >= 3 AS alert FROM (SELECT *, sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM (SELECT *, sum(step) OVER w AS score, sum(1 - bad) OVER w AS island FROM (SELECT *, CASE event_type WHEN 'error' THEN 1.0 WHEN 'signup' THEN 0.5 ELSE 0.0 END::DOUBLE AS step, (event_type IN ('error','signup'))::INT AS bad FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))",
     "regressions": "WITH b AS (SELECT *, floor(value / 10)::INT AS bucket FROM events) SELECT event_id, user_id, bucket FROM b x WHERE EXISTS (SELECT 1 FROM b y WHERE y.user_id = x.user_id AND y.bucket = x.bucket AND y.event_type = 'error' AND (y.ts < x.ts OR y.ts = x.ts AND y.event_id < x.event_id))",
     "lookback_14": "SELECT event_id FROM (SELECT *, max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS near FROM events) WHERE event_type = 'purchase' AND near = 1",
     "lookahead_19": "SELECT event_id FROM (SELECT *, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS near FROM events) WHERE event_type = 'signup' AND near = 0",
     "asof_source_to_sink": f"WITH e AS ({_EV}) SELECT k.event_id, arg_max(s.event_id, s.pos) AS source_id FROM e k JOIN e s ON s.user_id = k.user_id AND s.event_type = 'error' AND s.pos <= k.pos WHERE k.event_type = 'purchase' GROUP BY k.event_id, k.pos HAVING k.pos - max(s.pos) <= 200",
     "boolean_flip": "SELECT event_id FROM (SELECT event_id, value > 50 AS f, lag(value > 50) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events) WHERE f <> was",
     "policy_conflicts": "WITH f AS (SELECT user_id, ts::DATE AS day, event_type, min((ts, event_id)) AS f FROM events WHERE event_type IN ('purchase','error') GROUP BY 1, 2, 3) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, max(f)[2] AS event_id FROM f GROUP BY 1, 2 HAVING count(*) = 2",
-    "duplicate_registry_keys": "SELECT o_orderkey, nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth > 1",
+    "duplicate_registry_keys": "SELECT o_orderkey, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth > 1",
     "wildcard_shadowing": "SELECT s.p_partkey, min(w.p_partkey) AS w FROM part s JOIN part w ON w.p_brand = s.p_brand AND w.p_size = 1 AND w.p_partkey < s.p_partkey WHERE s.p_size > 1 GROUP BY 1",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLE, "code_call_edges", "code_graph_nodes", "code_unknown_calls"]}

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from codeloom.operators import pytest_facts as T
 from codeloom.operators import suites as S
