@@ -257,8 +257,6 @@ def lex_javascript(text: str) -> Stream:
         else:
             if word == "/" and text.startswith("/*", at - 1):
                 raise LexError(line, "comment never closed")
-            if word == ">=" and kinds and False:
-                pass
             add(_JS_CLASS.get(word, word))
     if braces:
         raise LexError(line, "bracket never closed")

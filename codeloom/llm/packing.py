@@ -11,7 +11,6 @@ containers and one rest.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

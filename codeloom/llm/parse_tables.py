@@ -15,6 +15,7 @@ chart. A grammar may start with ``%extends file``; its rules replace those of th
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from importlib.resources import files
 
 _TOKEN = re.compile(r"\s+|#[^\n]*|('(?:[^'\\]|\\.)+'|<\w+>|@?\w+|[:|;()?*+&!])")
@@ -86,8 +87,8 @@ def read_grammar(name: str) -> dict[str, tuple]:
     return rules | _Reader(text).rules()
 
 
-def _first_sets(rules: dict[str, tuple]) -> tuple[dict[str, frozenset | None], dict[str, bool]]:
-    """FIRST of every rule (None: any token) and whether it can be empty."""
+def _first_sets(rules: dict[str, tuple]) -> Callable[[tuple], tuple[set, bool, bool]]:
+    """Function of a part of a rule: its FIRST set, whether any token may begin it, whether it can be empty."""
     first: dict[str, set] = {r: set() for r in rules}
     free: dict[str, bool] = dict.fromkeys(rules, False)  # begins with a test that isn't a token
     empty: dict[str, bool] = dict.fromkeys(rules, False)
@@ -129,16 +130,14 @@ def _first_sets(rules: dict[str, tuple]) -> tuple[dict[str, frozenset | None], d
                 first[r] |= f
                 free[r], empty[r] = a, e
                 changed = True
-    _first_sets.of = of  # type: ignore[attr-defined]
-    return {r: None if free[r] else frozenset(first[r]) for r in rules}, empty
+    return of
 
 
 class Parser:
     """The tables of one grammar. ``error(kinds, breaks)`` is -1 for a sentence, else the index of the first token that can't be taken."""
 
     def __init__(self, rules: dict[str, tuple], start: str) -> None:
-        _first_sets(rules)
-        self._of = _first_sets.of  # type: ignore[attr-defined]
+        self._of = _first_sets(rules)
         self._lines: list[str] = []
         self._sets: dict[frozenset, str] = {}
         self._n = 0

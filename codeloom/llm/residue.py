@@ -102,7 +102,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 # Words of the usual Latin filler that English, German, French and Spanish don't use as ordinary words.
 LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum nec porta vestra".split())
 
-_KIND = {"plain": 0, "slot": 1, "filler": 2}
+# kind: 0 plain, 1 with a placeholder, 2 filler
 MESSAGES = "doc_id bigint, kind int, message string"
 
 
@@ -175,7 +175,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], names)
 
 
-def mine(tokens: list[list[str]], weights: list[int], alike: float = 0.6) -> list[list[str]]:
+def mine(tokens: list[list[str]], alike: float = 0.6) -> list[list[str]]:
     """Template of each message of one leaf; messages come in a fixed order."""
     clusters: list[list[str]] = []
     index: dict[str, list[int]] = {}
@@ -233,7 +233,7 @@ def _mine_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         tokens = [m.split(" ") for m, _, _ in rows]
         found: dict[tuple, str] = {}
         out = []
-        for (message, _, kind), tok, template in zip(rows, tokens, mine(tokens, []), strict=True):
+        for (message, _, kind), tok, template in zip(rows, tokens, mine(tokens), strict=True):
             key = tuple(template)
             verdict = found.get(key)
             if verdict is None:

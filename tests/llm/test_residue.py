@@ -21,7 +21,7 @@ def test_template_decides_about_a_placeholder(spark):
 
 
 def test_mining():
-    t = mine([x.split() for x in ("a b c d", "a b x d", "q r s t")], [])
+    t = mine([x.split() for x in ("a b c d", "a b x d", "q r s t")])
     assert t[0] == t[1] == ["a", "b", "<*>", "d"] and t[2] == ["q", "r", "s", "t"]
 
 
