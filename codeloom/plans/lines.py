@@ -21,8 +21,8 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def severity_summary(spark, sf_dir):
-    """The flagship: documents -> lines -> rules -> fingerprints -> duplicates folded -> counts by severity."""
-    found = L.line_findings(texts(spark, sf_dir))
+    """The flagship: files and documents -> lines -> rules -> fingerprints -> duplicates folded -> counts by severity."""
+    found = L.line_findings(files(spark, sf_dir).unionByName(texts(spark, sf_dir)))
     issues = found.select(F.col("path").alias("file"), F.col("rule_id").alias("category"), "severity", F.lit("rule_catalog").alias("detector"), F.lit("line rule").alias("description"), "line_number", F.col("line").alias("location"), F.lit("medium").alias("confidence"))
     kept = G.deduplicated(G.normalised(issues), [F.col("file"), F.col("line_number")])
     return G.severity_summary(kept)
@@ -121,6 +121,7 @@ def _lines_sql(source: str) -> str:
 
 
 _FILES = "(SELECT payload_id, path, content FROM file_payloads)"
+_BOTH = "(SELECT payload_id, path, content FROM file_payloads UNION ALL SELECT doc_id, 'docs/' || doc_id || '.md', text FROM documents)"
 _TEXTS = "(SELECT doc_id AS payload_id, 'docs/' || doc_id || '.md' AS path, text AS content FROM documents)"
 
 
@@ -162,7 +163,7 @@ def _file_sql(r: L.FileRule) -> str:
 _OVER = r"(?i)\b(guarantee[ds]?|complete(ly)?|fully|all (bugs|issues|findings)|never|100 ?%|production[- ]ready)\b"
 _LIMIT = r"(?i)\b(limit(s|ed|ation|ations)?|except|unless|but|however|may|might|approximate(ly)?|not)\b"
 ORACLE = {
-    "severity_summary": f"WITH {_lines_sql(_TEXTS)}, found AS ({_ALL}), kept AS (SELECT DISTINCT path, rule_id, severity, line_number, substr(line, 1, 240) AS l FROM found) SELECT count(*) FILTER (severity='CRITICAL') AS CRITICAL, count(*) FILTER (severity='HIGH') AS HIGH, count(*) FILTER (severity='MEDIUM') AS MEDIUM, count(*) FILTER (severity='LOW') AS LOW, count(*) AS TOTAL, 0::BIGINT AS FAILED_FILES, 0::BIGINT AS SKIPPED_FILES FROM kept",
+    "severity_summary": f"WITH {_lines_sql(_BOTH)}, found AS ({_ALL}), kept AS (SELECT DISTINCT path, rule_id, severity, line_number, substr(line, 1, 240) AS l FROM found) SELECT count(*) FILTER (severity='CRITICAL') AS CRITICAL, count(*) FILTER (severity='HIGH') AS HIGH, count(*) FILTER (severity='MEDIUM') AS MEDIUM, count(*) FILTER (severity='LOW') AS LOW, count(*) AS TOTAL, 0::BIGINT AS FAILED_FILES, 0::BIGINT AS SKIPPED_FILES FROM kept",
     "code_line_findings": f"WITH {_lines_sql(_FILES)} SELECT payload_id, line_number::INT AS line_number, rule_id, severity FROM ({_ALL})",
     "doc_line_findings": f"WITH {_lines_sql(_TEXTS)} SELECT payload_id, line_number::INT AS line_number, rule_id, severity FROM ({_ALL})",
     "file_rule_findings": " UNION ALL ".join(_file_sql(r) for r in L.FILE_RULES),
