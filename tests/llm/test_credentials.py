@@ -49,6 +49,14 @@ def test_not_found(words, path, text):
     assert find_secrets(text, path, words) == []
 
 
+@pytest.mark.parametrize("text", [
+    "mysqldump -uroot -pK7x9Qz2mWv4t shop\n", "redis-cli -h c1 -a K7x9Qz2mWv4t ping\n", "curl --user deploy:Kx8Qz2mWv4t7 host\n",
+    "x = 'ya29.Zk3jf93kdlQ0smXx81PqLw'\n", "x = 'pypi-" + "Zk3jf93kdl" * 5 + "'\n", "x = 'dop_v1_" + "3fa94be07c" * 5 + "'\n", "x = 'whsec_Zk3jf93kdlQ0smXx81PqLw'\n", "x = 'github_pat_" + "Zk3jf93kdl" * 5 + "'\n", "x = 'AROA3GATBLMKVLBFDS7F'\n", "x = 'AIDA3GATBLMKVLBFDS7F'\n",
+])
+def test_found_without_a_telling_word(words, text):
+    assert len(find_secrets(text, "a.sh", words)) == 1
+
+
 def test_residual(words):
     assert words.residual("changeme") == words.residual("api_token-url") == words.residual("********") == 0
     assert words.residual("falconquartz3683") == 4
