@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,11 +41,41 @@ def sink_kind(name: str, call: ast.Call) -> str | None:
     return "html" if name in HTML else None
 
 
+@dataclass(frozen=True)
+class Passing:
+    """Parameters that a function returns: positions, -1 for ``*``, -2 for ``**``. ``skip``: positions that a call by the class's name has for ``self``."""
+
+    names: tuple[str, ...]
+    n_positional: int
+    n_only: int
+    skip: int
+    returned: frozenset[int]
+
+    def handed(self, call: ast.Call) -> list[ast.expr]:
+        """The arguments of a call that its value holds."""
+        out, starred = [], False
+        for i, a in enumerate(call.args):
+            i -= self.skip
+            starred |= isinstance(a, ast.Starred)
+            if starred:  # this and later positions are open
+                on = any(r == -1 or i <= r < self.n_positional for r in self.returned)
+            else:
+                on = (i if i < self.n_positional else -1) in self.returned and i >= 0
+            if on:
+                out.append(a)
+        by_name = {n: i for i, n in enumerate(self.names) if i >= self.n_only}
+        for k in call.keywords:
+            if any(r != -1 for r in self.returned) if k.arg is None else by_name.get(k.arg, -2) in self.returned:
+                out.append(k.value)
+        return out
+
+
 class Flow:
     """Origins of values in one function: ``source:x``, ``param:i`` or ``call:qualified.name``."""
 
-    def __init__(self, names: Names, module: str, functions: set[str], func: str, params: list[str], defaults: dict[str, ast.expr]) -> None:
+    def __init__(self, names: Names, module: str, functions: set[str], func: str, params: list[str], defaults: dict[str, ast.expr], passing: dict[str, list[Passing]] | None = None) -> None:
         self.names, self.module, self.functions, self.func = names, module, functions, func
+        self.passing = passing or {}
         self.env: dict[str, set[str]] = {p: {f"param:{i}"} for i, p in enumerate(params)}
         for p, d in defaults.items():
             self.env.setdefault(p, set()).update(o for o in self.origins(d) if o.startswith("source:"))
@@ -68,8 +99,10 @@ class Flow:
                 return {f"source:{SOURCE_CALLS[name]}"}
             out = {f"call:{self.qualified(raw)}"} if raw else set()
             parts = [e.func.value] if isinstance(e.func, ast.Attribute) else []
-            local = self.qualified(raw) in {f"{self.module}.{f}" for f in self.functions}
-            for a in [*parts, *([] if local else [*e.args, *[k.value for k in e.keywords]])]:
+            own = self.qualified(raw).removeprefix(f"{self.module}.")
+            # A function of this file hands on what it returns of its arguments; any other is taken to hand on all.
+            handed = [a for p in self.passing.get(own, ()) for a in p.handed(e)] if own in self.functions else [*e.args, *[k.value for k in e.keywords]]
+            for a in [*parts, *handed]:
                 out |= self.origins(a)
             return out
         if isinstance(e, ast.Attribute):
@@ -172,28 +205,43 @@ def flows_of(text: str, module: str, path: str) -> list[tuple]:
 
     collect(tree.body, "")
     known = {n for n, _ in functions}
-    out: list[tuple] = []
+    passing: dict[str, list[Passing]] = {}
     try:
-        top = Flow(names, module, known, f"{module}.<module>", [], {})
-        top.run(tree.body)
-        out += top.rows
-        for name, f in functions:
-            a = f.args
-            params = [x.arg for x in [*a.posonlyargs, *a.args]]
-            method = "." in name and params[:1] in (["self"], ["cls"])
-            defaults = dict(zip(params[len(params) - len(a.defaults) :], a.defaults, strict=True)) | {k.arg: d for k, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d is not None}
-            shown = params[1:] if method else params
-            extra = [x.arg for x in a.kwonlyargs]
-            rest = ([a.vararg.arg] if a.vararg else []) + ([a.kwarg.arg] if a.kwarg else [])
-            flow = Flow(names, module, known, f"{module}.{name}", [*shown, *extra], defaults)
-            for p in rest:
-                flow.env[p] = {f"param:{-1 if a.vararg and p == a.vararg.arg else -2}"}
-            for i, p in enumerate([*shown, *extra]):
-                out.append(("param", f.lineno, f"{module}.{name}", None, i, p, None, None))
-            flow.run(f.body)
-            out += flow.rows
+        # Again until no function hands on more than was known: helpers may call helpers.
+        while True:
+            before = dict(passing)
+            out = _flows(tree, names, module, known, functions, passing)
+            if passing == before:
+                return out
     except RecursionError:
         return []
+
+
+def _flows(tree: ast.Module, names: Names, module: str, known: set[str], functions: list[tuple[str, ast.FunctionDef]], passing: dict[str, list[Passing]]) -> list[tuple]:
+    """The flows of a file, given what its functions hand on; what they are seen to hand on goes to ``passing``."""
+    top = Flow(names, module, known, f"{module}.<module>", [], {}, passing)
+    top.run(tree.body)
+    out = top.rows
+    seen: dict[str, list[Passing]] = {}
+    for name, f in functions:
+        a = f.args
+        params = [x.arg for x in [*a.posonlyargs, *a.args]]
+        method = "." in name and params[:1] in (["self"], ["cls"])
+        defaults = dict(zip(params[len(params) - len(a.defaults) :], a.defaults, strict=True)) | {k.arg: d for k, d in zip(a.kwonlyargs, a.kw_defaults, strict=True) if d is not None}
+        shown = params[1:] if method else params
+        extra = [x.arg for x in a.kwonlyargs]
+        rest = ([a.vararg.arg] if a.vararg else []) + ([a.kwarg.arg] if a.kwarg else [])
+        flow = Flow(names, module, known, f"{module}.{name}", [*shown, *extra], defaults, passing)
+        for p in rest:
+            flow.env[p] = {f"param:{-1 if a.vararg and p == a.vararg.arg else -2}"}
+        for i, p in enumerate([*shown, *extra]):
+            out.append(("param", f.lineno, f"{module}.{name}", None, i, p, None, None))
+        flow.run(f.body)
+        out += flow.rows
+        if returned := frozenset(int(r[6][6:]) for r in flow.rows if r[0] == "return" and r[6].startswith("param:")):
+            seen.setdefault(name, []).append(Passing((*shown, *extra), len(shown), max(0, len(a.posonlyargs) - method), int(method and params[0] == "self"), returned))
+            passing.setdefault(name, seen[name])
+    passing.update(seen)
     return out
 
 
@@ -217,7 +265,8 @@ _CODE = {"sql": ("PYDF001", "PYXDF001"), "shell": ("PYDF002", "PYXDF002"), "html
 def taint_findings(flows: DataFrame) -> DataFrame:
     """``payload_id, project_root, path, line, rule_id, source, call_path`` of flows from a source to a sink.
 
-    Direct: the sink's value has a source, or comes from a function that returns one.
+    Direct: the sink's value has a source, comes from a function that returns one, or from one
+    of the same file that returns the argument with the source.
     One call deep: an argument with a source is bound to a parameter that reaches a sink, in
     this file (PYDF) or another (PYXDF). Positions count without ``self``; ``*`` and ``**``
     arguments bind to the parameters that collect them.

@@ -88,6 +88,31 @@ def test_flows_in_a_file(spark):
         assert found.get(i, set()) == want, code
 
 
+PASSED = [
+    ("def ident(x):\n    return x\nq = ident(request.args.get('q'))\ncur.execute(q)\n", 1),
+    ("def ident(x):\n    return x\ncur.execute(ident(x=request.args.get('q')))\n", 1),
+    ("def second(a, b):\n    return b\ncur.execute(second(request.args.get('q'), 'x'))\n", 0),
+    ("def second(a, b):\n    return b\ncur.execute(second(*request.args.get('q')))\n", 1),
+    ("def rest(a, *more, **named):\n    return more\ncur.execute(rest('x', request.args.get('q')))\n", 1),
+    ("def rest(a, *more, **named):\n    return named\ncur.execute(rest('x', y=request.args.get('q')))\n", 1),
+    ("def rest(a, *more, **named):\n    return named\ncur.execute(rest(request.args.get('q'), 'y'))\n", 0),
+    ("def outer(x):\n    return inner('a' + x)\ndef inner(y):\n    return y\ncur.execute(outer(request.args.get('q')))\n", 1),
+    ("class C:\n    def m(self, x):\n        return x\ncur.execute(C.m(c, request.args.get('q')))\n", 1),
+    ("import html\ndef clean(x):\n    return html.escape(x)\ncur.execute(clean(request.args.get('q')))\n", 0),
+]
+
+
+@pytest.mark.parametrize("code,n", PASSED)
+def test_helpers_hand_on_their_arguments(code, n):
+    sources = [r for r in T.flows_of(code, "m", "m.py") if r[0] == "sink" and r[6].startswith("source:")]
+    assert len(sources) == n
+
+
+def test_flow_through_a_helper_is_a_finding(spark):
+    found = rows(T.taint_findings(T.python_flows(_corpus(spark, [("m.py", PASSED[0][0])]))).select("line", "rule_id", "source"))
+    assert found == [(4, "PYDF001", "flask-request-args")]
+
+
 def test_flows_across_files(spark):
     files = [
         ("pkg/db.py", "def run(sql):\n    cursor.execute(sql)\n"),
