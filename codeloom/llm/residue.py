@@ -46,7 +46,6 @@ ERROR_OPENINGS = (
     r"(?:warning|fatal error|notice|parse error): .*(?:failed|refused|undefined|denied|unexpected)",
     r"traceback \(most recent call last\)",
     r"\w*(?:error|exception|missing): ?\S+$",
-    r"\{\"error\":",
     r"<error>",
     r"too many requests",
     r"seite nicht gefunden\W*$", r"die angeforderte seite", r"zugriff verweigert\W*$", r"sie haben keine berechtigung", r"interner serverfehler", r"bitte versuchen sie es", r"ihre sitzung ist", r"bitte melden sie sich", r"(?:der dienst|diese seite) ist (?:derzeit|momentan|vorübergehend)", r"zu viele anfragen",
@@ -97,6 +96,13 @@ _QUOTED = re.compile(r"`[^`\n]*`|\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|\[[^\]\n]*\]\[[^\]\n]*\]|\[\[[^\]\n]*\s[^\]\n]*\]\]|\[[xX ]\](?=\s)|\[\^?\d+\]|https?://\S+|(?<!\S)/[\w{}<>:.\-]+(?:/[\w{}<>:.\-]*)+|\b\w+<\w+(?:, ?\w+)*>")
 _PREFIX = re.compile(r"^(?:\s{0,3}(?:[-*+>]|#{1,6}|\d{1,3}[.)]|@[\w-]+)\s+)+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-ÝŒ¿¡„“\"«<\[{(@%$_#])")
+# A member of a JSON object, up to the end of a plain value or the opening of a nested one.
+_MEMBER = re.compile(r'"((?:[^"\\]|\\.)*)"\s*:\s*("(?:[^"\\]|\\.)*"?|\[\s*\]|\{\s*\}|[^,{}\[\]"]*)')
+_NOTHING = frozenset(["null", "false", "0", '""', "[]", "{}"])
+# Keys of bodies whose value says what happened, and keys that only errors have.
+_SAYING = frozenset("message msg detail details title description reason error error_description errormessage error_message".split())
+_ERROR_KEY = re.compile(r'"(?:errors?|error_?(?:code|message|description|type)|fault(?:string|code)?|exception|stack_?trace|traceback)": (?!nothing(?: |$))')
+_SAID = re.compile(rf'"(?:{"|".join(sorted(_SAYING))})": ([^"]+)')
 _OPAQUE = re.compile(r"^(?=.*[\d/\\]).+$")
 _WORD = re.compile(r"[^\W\d_]+")
 # Words of the usual Latin filler that English, German, French and Spanish don't use as ordinary words.
@@ -117,6 +123,31 @@ def _filler(line: str) -> bool:
     return len(set(latin)) >= 3 and len(latin) >= 0.2 * len(words)
 
 
+def _body(s: str) -> tuple[int, str]:
+    """(kind, message) of a JSON body: its keys in order; values are masked, except the words of those that tell what happened."""
+    slots: list[str] = []
+
+    def put(m: re.Match) -> str:
+        slots.append("<slot>" + re.sub(r"\s+", "_", m[0]))
+        return f"\0{len(slots) - 1}\0"
+
+    tokens = ["<json>"]
+    for m in _MEMBER.finditer(SLOT.sub(put, s)):
+        key, value = re.sub(r"\s+", "_", m[1].lower()), m[2].strip()
+        tokens.append(f'"{key}":')
+        held = [slots[int(i)] for i in re.findall(r"\0(\d+)\0", value)]
+        words = re.sub(r"\0\d+\0", " ", value).strip('"').replace('"', "").split()
+        if value.lower() in _NOTHING:
+            tokens.append("nothing")
+        elif key in _SAYING and words:
+            tokens += ["<*>" if _OPAQUE.match(w) else w for w in words]
+        elif not held:
+            tokens.append("<*>")
+        tokens += held
+    tokens += [x for x in slots if x not in tokens]  # in keys and lists
+    return int(bool(slots)), " ".join(re.sub(r"\0\d+\0", "<*>", t) for t in tokens)
+
+
 def messages(text: str | None) -> Iterator[tuple[int, str]]:
     """(kind, masked message) of a text, outside code blocks. Numbers, ids and paths are ``<*>``, quotations ``<q>``, a placeholder is one token ``<slot>...``."""
     if not text or not text.strip():
@@ -141,9 +172,11 @@ def messages(text: str | None) -> Iterator[tuple[int, str]]:
             yield 1, "<slot>empty"
         for s in _SENTENCE.split(body.strip()):
             s = s.strip()
-            if s.startswith("{\"") or s.startswith("<Error>"):
-                yield 0, s[:9].lower()
+            if re.match(r'\{\s*"', s):
+                yield _body(s)
                 continue
+            if s.startswith("<Error>"):
+                s = "<Error> " + s[7:]
             plain = _LINK.sub("<*>", _QUOTED.sub("<q>", s))
             slots: list[str] = []
 
@@ -210,6 +243,10 @@ _RESIDUE = [("error", re.compile("|".join(f"(?:{p})" for p in ERROR_OPENINGS))),
 def classify(template: list[str]) -> str:
     """Verdict on a template: error, scripts, filler or ordinary."""
     text = " ".join(template).lower()
+    if text.startswith("<json> "):
+        if _ERROR_KEY.search(text):
+            return "error"
+        return next((v for said in _SAID.findall(text) for v, rx in _RESIDUE if rx.match(said.strip())), "ordinary")
     for verdict, rx in _RESIDUE:
         if rx.match(text):
             return verdict

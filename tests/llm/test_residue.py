@@ -31,3 +31,17 @@ def test_hot_leaf_is_split(spark):
     data = [(i, f"Your session {chr(97 + i % 26)}{chr(97 + i // 26)} ok") for i in range(200)] + [(999, "Your session has expired.")]
     found = spark.createDataFrame(data, "doc_id bigint, text string").mapInArrow(R._explode, R.MESSAGES)
     assert rows(R.template_verdicts(found, leaf_rows=20).select("verdict")) == [("error",)]
+
+
+def test_bodies_are_read_as_a_whole():
+    from codeloom.llm.residue import classify, messages, slot_verdict
+
+    def verdicts(text):
+        return {v if (v := classify(m.split())) != "ordinary" or not kind else slot_verdict(m.split(), m.split()) for kind, m in messages(text)}
+
+    for text in ('{"status":503,"error":"upstream"}', '{"errors":[{"code": 1}]}', '{"message":"Access denied"}', '{"data": {"fault": {"faultstring": "x"}}}', '{"error": {"code": 504}}', "<Error><Code>AccessDenied</Code></Error>"):
+        assert verdicts(text) == {"error"}, text
+    for text in ('{"count": {{n}}}', '{"name": "{{ name }}", "size": 3}', '{"list": ["a", "{{ b }}"]}'):
+        assert verdicts(text) == {"slot"}, text
+    for text in ('{"error": null, "rows": 4}', '{"message": "Saved the list", "size": 3}', '{"name": "error", "errors": []}', '{"a": {}}', "{\"open"):
+        assert verdicts(text) == {"ordinary"}, text
