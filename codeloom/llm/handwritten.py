@@ -210,7 +210,7 @@ def _features(texts: list[str]) -> dict[str, list]:
 
 def head_says(text: str) -> tuple[bool, bool]:
     """(written by a tool, third party), as the comments before the first code say."""
-    head = _COMMENT_HEAD.match(text[:4000])[0]
+    head = _COMMENT_HEAD.match(text)[0]
     if not head.strip():
         return False, False
     lines = [re.sub(r"^\s*(?:#+!?|//+!?|/?\*+!?|--|<!--)\s*|\s*\*/\s*$", "", x) for x in head.split("\n")]
@@ -237,7 +237,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads = [head_says(x) for x in part]
             columns = [b.column(k).slice(done, end - done) for k in range(4)]
             columns += [pa.array(f[name], kind) for name, kind in _FIELDS]
-            columns += [pa.array([h[0] for h in heads], pa.bool_()), pa.array([h[1] for h in heads], pa.bool_()), pa.array(['"lockfileVersion"' in x[:600] for x in part], pa.bool_())]
+            columns += [pa.array([h[0] for h in heads], pa.bool_()), pa.array([h[1] for h in heads], pa.bool_()), pa.array(['"lockfileVersion"' in x for x in part], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["payload_id", "project_root", "path", "sha", *[x for x, _ in _FIELDS], "tool", "third", "lock"])
             done = end
 

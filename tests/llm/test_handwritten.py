@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeloom.llm.handwritten import _features, classified_entries, classified_files, head_says, path_verdict, repair
@@ -76,3 +77,15 @@ def test_paths(spark):
     want = {"a/x_pb2.py": "generated", "tests/test_x_pb2.py": None, "app/generated/x_override.py": None, "api/zz_generated.x.go": "generated", "web/assets/a.chunk.js": "minified", "tools/generator_x.go": None, "src/distribution/a.java": None, "third_party/a/src/b.go": "vendored", "yarn.lock": "lock", None: None}
     df = spark.createDataFrame([(p,) for p in want], "path string")
     assert {r[0]: r[1] for r in df.select("path", path_verdict(df.path)).collect()} == want
+
+
+def test_heads_and_lock_keys_are_read_to_their_end():
+    from codeloom.llm.handwritten import _run
+
+    banner = "# This notice is long.\n" * 400
+    assert head_says(banner + "# Code generated by gen. DO NOT EDIT.\nx = 1\n") == (True, False)
+    assert head_says("/*\n" + "notice\n" * 1000 + "Code generated by gen. DO NOT EDIT.\n*/\nint x;\n") == (True, False)
+    assert head_says(banner + "x = 1\n# Code generated by gen. DO NOT EDIT.\n") == (False, False)
+    text = '{"name": "' + "a" * 700 + '", "lockfileVersion": 3}'
+    b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["r"]), pa.array(["deps.json"]), pa.array([""]), pa.array([text])], ["payload_id", "project_root", "path", "sha", "content"])
+    assert next(_run(iter([b]))).column("lock").to_pylist() == [True]
