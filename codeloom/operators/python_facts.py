@@ -7,8 +7,10 @@ for is then a filter over that stream. Files that don't parse yield one ``syntax
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -98,7 +100,7 @@ class _Visitor(ast.NodeVisitor):
         self.bare: ast.AST | None = None
 
     def add(self, kind: str, node: ast.AST, raw: str = "", text: str = "", n_args: int = 0, first: str = "", keywords: dict | None = None, flags: list[str] | None = None, canonical: str | None = None) -> None:
-        self.out.append((kind, getattr(node, "lineno", 1), ".".join(self.owner) or "<module>", raw, self.names.canonical(raw) if canonical is None else canonical, text[:500], n_args, first, list((keywords or {}).items()), flags or []))
+        self.out.append((kind, getattr(node, "lineno", 1), ".".join(self.owner) or "<module>", raw, self.names.canonical(raw) if canonical is None else canonical, text, n_args, first, list((keywords or {}).items()), flags or []))
 
     def visit_Expr(self, node: ast.Expr) -> None:
         self.bare = node.value
@@ -200,6 +202,17 @@ class _Visitor(ast.NodeVisitor):
         self.generic_visit(node)
 
 
+@contextmanager
+def deep() -> Iterator[None]:
+    """Lets Python walk any tree that the parser can build; frames of Python code lie on the heap."""
+    was = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(was, 1_000_000))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(was)
+
+
 def parse(text: str) -> ast.Module | str:
     try:
         with warnings.catch_warnings():
@@ -214,10 +227,8 @@ def facts_of(text: str, module: str, path: str) -> list[tuple]:
     if isinstance(tree, str):
         return [("syntax", 1, "<module>", "", "", tree[:200], 0, "", [], [])]
     v = _Visitor(Names(tree, module, path.endswith("__init__.py")))
-    try:
+    with deep():
         v.visit(tree)
-    except RecursionError:
-        return [("syntax", 1, "<module>", "", "", "nested too deeply", 0, "", [], [])]
     return v.out
 
 

@@ -140,3 +140,13 @@ def test_independent_of_partitions(spark, data, parts):
     n = P.rule_findings(P.python_facts(df)).agg(F.count(F.lit(1)), F.sum(F.hash("payload_id", "line", "rule_id"))).first()
     test_independent_of_partitions.seen = getattr(test_independent_of_partitions, "seen", tuple(n))
     assert tuple(n) == test_independent_of_partitions.seen
+
+
+def test_long_and_deep_code_keeps_its_facts():
+    long = "log.info(" + ", ".join(f"'part number {i}'" for i in range(60)) + ", password)\n"
+    assert P.facts_of(long, "m", "m.py")[0][5].endswith("password)")
+    args = ", ".join(f"argument_{i}" for i in range(60))
+    a, b = (P.facts_of(f"def f({args}, {last}):\n    pass\n", "m", "m.py")[0][5] for last in "ab")
+    assert a != b
+    kinds = {f[0] for f in P.facts_of("eval(x)\ny = f(" + " + ".join(["a"] * 1500) + ")\n", "m", "m.py")}
+    assert "syntax" not in kinds and "call" in kinds
