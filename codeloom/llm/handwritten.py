@@ -1,18 +1,26 @@
 """Files nobody wrote by hand: generated, minified, vendored, or data kept as code.
 
-Files are cut into tokens and a grammar is inferred from the token sequence by rounds of
-pair replacement (Re-Pair): each round counts the adjacent pairs of every file and replaces,
-all at once, those that occur more often than the pairs that overlap them. A rule's name is
-a hash of what it expands to, so equal rules have equal names in all files and tasks.
-
-* Few rules used very often over most of a file: generated.
-* Literals that no rule covers, in most of a file: data.
-* Rules over several lines that files of several repositories share, one of which is a known
-  package or lies among packages: vendored, also if altered or renamed.
+Files are cut into tokens and grammars are inferred from the token sequences by pair
+replacement. A rule's name is a hash of what it expands to, so equal rules have equal names
+in all files and tasks.
+
+* Rule reuse. Re-Pair over the kinds of tokens: rounds count the adjacent pairs of every file
+  and replace, all at once, those that occur more often than the pairs that overlap them,
+  until no pair occurs twice. One rule that is used very often and covers nearly all of a
+  file says generated by itself; less reuse needs the word of a head comment or a path.
+* Bare literals. Re-Pair over a file's literals alone: literals that end up in no rule can't be
+  compressed. If they are most of a code file, it holds data.
+* Shared rules. Across files, which pair is replaced is decided by the symbols themselves
+  instead of by counts, since counting the pairs of all files would take a shuffle for each
+  round: a symbol hashes to a left or a right hand, and a left one joins a right one behind it.
+  Equal stretches of text get equal rules in every file. Rules that several repositories
+  share, one of whose files is a known package or says that it is third-party, and rules
+  that three repositories share over nearly all of a long file, say vendored.
 * Tokens without white space on few long lines with one-letter names: minified.
 
-What a path or the comment at a file's head says is checked against this. Everything up to
-the decision runs in numpy over whole batches of files.
+Paths and head comments never make a file generated or data without the grammar's evidence.
+They do decide where there is nothing to measure: lock files and source maps are named, and a
+third-party file that only one repository has shares no rule with anyone.
 """
 
 from __future__ import annotations
@@ -26,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.columns import relative_posix
-from codeloom.session import ensure_checkpoint_dir, spread
+from codeloom.session import kept, spread
 
 # Suffixes of source code, and names of lock files.
 CODE = ("py", "js", "mjs", "cjs", "jsx", "ts", "tsx", "java", "go", "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "rs", "kt", "scala", "swift", "css", "scss", "lua", "pl", "m", "dart")
@@ -101,19 +109,19 @@ def _tokens(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     return {"at": at, "length": length, "word": is_word, "name": name, "file": (np.searchsorted(starts, at, side="right") - 1).astype(np.int64)}
 
 
-def repair(symbols: np.ndarray, file: np.ndarray, n_files: int, rounds: int = 32) -> dict[str, np.ndarray]:
-    """Re-Pair of many sequences at once.
+def repair(symbols: np.ndarray, file: np.ndarray, n_files: int, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Re-Pair of many sequences at once, until no pair occurs twice.
 
     Returns, per sequence: its length, the length after all rounds, the greatest share of it
-    that one rule of at least three symbols covers with at least four uses, and those uses.
+    that one rule of at least three symbols covers with at least four uses, those uses, and
+    the ``weight`` of the symbols that no rule covers.
     """
     size = np.bincount(file, minlength=n_files).astype(np.int64)
     sym, fid = symbols.astype(np.uint64), file
     length = np.ones(len(sym), np.int64)
+    bare = np.ones(len(sym)) if weight is None else weight.astype(np.float64)  # 0 in rules
     share, uses = np.zeros(n_files), np.zeros(n_files, np.int64)
-    for _ in range(rounds):
-        if len(sym) < 2:
-            break
+    while len(sym) > 1:
         same = fid[1:] == fid[:-1]
         rule = _mix(sym[:-1] * _M1 + sym[1:] * _M3)
         _, inverse, counts = np.unique(rule ^ _mix(fid[:-1].astype(np.uint64) + _M2), return_inverse=True, return_counts=True)
@@ -129,9 +137,10 @@ def repair(symbols: np.ndarray, file: np.ndarray, n_files: int, rounds: int = 32
         offset = np.arange(len(take)) - np.flatnonzero(begin)[np.maximum(run - 1, 0)]
         take &= offset % 2 == 0
         i = np.flatnonzero(take)
-        sym, length = sym.copy(), length.copy()
+        sym, length, bare = sym.copy(), length.copy(), bare.copy()
         sym[i] = rule[i]
         length[i] += length[i + 1]
+        bare[i] = 0
         # How much of its file each new rule covers.
         used = _mix(rule[i] ^ _mix(fid[i].astype(np.uint64)))
         _, where, inv, times = np.unique(used, return_index=True, return_inverse=True, return_counts=True)
@@ -144,8 +153,29 @@ def repair(symbols: np.ndarray, file: np.ndarray, n_files: int, rounds: int = 32
         np.maximum.at(share, f, cover)
         keep = np.ones(len(sym), bool)
         keep[i + 1] = False
+        sym, fid, length, bare = sym[keep], fid[keep], length[keep], bare[keep]
+    return {"size": size, "left": np.bincount(fid, minlength=n_files), "share": share, "uses": uses, "bare": np.bincount(fid, weights=bare, minlength=n_files)}
+
+
+def shared_rules(symbols: np.ndarray, file: np.ndarray, rounds: int = 12, least: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rule, file, tokens) of the rules of at least ``least`` tokens after ``rounds`` rounds of pairing by content.
+
+    A round shortens a sequence by about a quarter, so rules have some thirty tokens. The
+    number of rounds sets that length and has nothing to do with the length of a file.
+    """
+    sym, fid = symbols.astype(np.uint64), file
+    length = np.ones(len(sym), np.int64)
+    for r in range(rounds):
+        hand = (_mix(sym ^ np.uint64(r + 1)) >> np.uint64(7)) & np.uint64(1)
+        i = np.flatnonzero((fid[1:] == fid[:-1]) & (hand[:-1] == 0) & (hand[1:] == 1))
+        sym, length = sym.copy(), length.copy()
+        sym[i] = _mix(sym[i] * _M1 + sym[i + 1] * _M3)
+        length[i] += length[i + 1]
+        keep = np.ones(len(sym), bool)
+        keep[i + 1] = False
         sym, fid, length = sym[keep], fid[keep], length[keep]
-    return {"size": size, "left": np.bincount(fid, minlength=n_files), "share": share, "uses": uses}
+    long = length >= least
+    return sym[long].astype(np.int64), fid[long], length[long]
 
 
 def _features(texts: list[str]) -> dict[str, list]:
@@ -153,10 +183,9 @@ def _features(texts: list[str]) -> dict[str, list]:
     n = len(blobs)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in blobs])]).astype(np.int64)
     data = np.frombuffer(b"".join(blobs), np.uint8)
-    out: dict[str, list] = {}
     if not len(data):
         zero = [0.0] * n
-        return {"n_tokens": [0] * n, "left": [0] * n, "share": zero, "uses": [0] * n, "literal": zero, "fresh": zero, "blank": zero, "name_length": zero, "line_length": [0] * n, "rules": [[] for _ in range(n)], "weights": [[] for _ in range(n)]}
+        return {"n_tokens": [0] * n, "left": [0] * n, "share": zero, "uses": [0] * n, "bare": zero, "blank": zero, "name_length": zero, "line_length": [0] * n, "rules": [[] for _ in range(n)], "weights": [[] for _ in range(n)]}
     t = _tokens(data, starts)
     file, at, length, is_word, name = t["file"], t["at"], t["length"], t["word"], t["name"]
     digit = is_word & (_KIND[data[at]] == 3)
@@ -171,10 +200,7 @@ def _features(texts: list[str]) -> dict[str, list]:
     turns = turn[np.minimum(at + length - 1, len(data) - 1)] - turn[at]
     literal = digit | (is_word & (length >= 8) & (turns >= 0.28 * length))
     word_bytes = np.maximum(np.bincount(file, weights=length * is_word, minlength=n), 1)
-    literal_share = np.bincount(file, weights=length * literal, minlength=n) / word_bytes
-    lit_file, lit_name = file[literal], name[literal]
-    distinct = np.unique(lit_name ^ _mix(lit_file.astype(np.uint64)), return_index=True)[1]
-    fresh = np.bincount(lit_file[distinct], minlength=n) / np.maximum(np.bincount(lit_file, minlength=n), 1)
+    bare = repair(name[literal], file[literal], n, length[literal])["bare"] / word_bytes
 
     names = is_word & ~digit
     name_length = np.bincount(file, weights=length * names, minlength=n) / np.maximum(np.bincount(file, weights=names, minlength=n), 1)
@@ -184,28 +210,14 @@ def _features(texts: list[str]) -> dict[str, list]:
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, np.searchsorted(starts, cuts[:-1], side="right") - 1, width)
 
-    # Rules over lines: hash of each line's tokens, lines joined between lines whose hash ends a rule.
-    line = np.searchsorted(cuts, at, side="right") - 1
-    lines, begin = np.unique(line, return_index=True)
-    place = (np.arange(len(line)) - np.repeat(begin, np.diff(np.append(begin, len(line))))).astype(np.uint64)
-    line_hash = np.add.reduceat(_mix(name + place * _M3), begin) if len(begin) else np.zeros(0, np.uint64)
-    line_file = file[begin] if len(begin) else np.zeros(0, np.int64)
-    line_hash = _mix(line_hash)
-    ends_rule = (line_hash % np.uint64(6)) == 0
-    new_rule = np.ones(len(line_hash), bool)
-    new_rule[1:] = ends_rule[:-1] | (line_file[1:] != line_file[:-1])
-    first = np.flatnonzero(new_rule)
     rules, weights = [[] for _ in range(n)], [[] for _ in range(n)]
-    if len(first):
-        span = np.diff(np.append(first, len(line_hash)))
-        inside = (np.arange(len(line_hash)) - np.repeat(first, span)).astype(np.uint64)
-        rule = np.add.reduceat(_mix(line_hash + inside * _M3), first).astype(np.int64)
-        for f, r, w in zip(line_file[first].tolist(), rule.tolist(), span.tolist(), strict=True):
-            rules[f].append(r)
-            weights[f].append(w)
-    out |= {"n_tokens": g["size"].tolist(), "left": g["left"].tolist(), "share": g["share"].tolist(), "uses": g["uses"].tolist(), "literal": literal_share.tolist(), "fresh": fresh.tolist()}
-    out |= {"blank": blank.tolist(), "name_length": name_length.tolist(), "line_length": longest.tolist(), "rules": rules, "weights": weights}
-    return out
+    for r, f, w in zip(*(a.tolist() for a in shared_rules(name, file)), strict=True):
+        rules[f].append(r)
+        weights[f].append(w)
+    return {
+        "n_tokens": g["size"].tolist(), "left": g["left"].tolist(), "share": g["share"].tolist(), "uses": g["uses"].tolist(), "bare": bare.tolist(),
+        "blank": blank.tolist(), "name_length": name_length.tolist(), "line_length": longest.tolist(), "rules": rules, "weights": weights,
+    }
 
 
 def head_says(text: str) -> tuple[bool, bool]:
@@ -218,8 +230,8 @@ def head_says(text: str) -> tuple[bool, bool]:
     return tool, any(_THIRD.search(x) for x in lines)
 
 
-_FIELDS = [("n_tokens", pa.int64()), ("left", pa.int64()), ("share", pa.float64()), ("uses", pa.int64()), ("literal", pa.float64()), ("fresh", pa.float64()), ("blank", pa.float64()), ("name_length", pa.float64()), ("line_length", pa.int64()), ("rules", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))]
-FEATURES = "payload_id bigint, project_root string, path string, sha string, n_tokens bigint, left bigint, share double, uses bigint, literal double, fresh double, blank double, name_length double, line_length bigint, rules array<bigint>, weights array<bigint>, tool boolean, third boolean, lock boolean"
+_FIELDS = [("n_tokens", pa.int64()), ("left", pa.int64()), ("share", pa.float64()), ("uses", pa.int64()), ("bare", pa.float64()), ("blank", pa.float64()), ("name_length", pa.float64()), ("line_length", pa.int64()), ("rules", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))]
+FEATURES = "payload_id bigint, project_root string, path string, sha string, n_tokens bigint, left bigint, share double, uses bigint, bare double, blank double, name_length double, line_length bigint, rules array<bigint>, weights array<bigint>, tool boolean, third boolean, lock boolean"
 _SLICE = 2_000_000  # characters of text handled at once
 
 
@@ -243,7 +255,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def file_features(df: DataFrame) -> DataFrame:
-    """``FEATURES`` of every file: grammar measures, hashes of rules over lines, and what the head says. Null content is an empty text. No shuffle."""
+    """``FEATURES`` of every file: grammar measures, rules that files may share, and what the head says. Null content is an empty text. No shuffle."""
     rows = df.select(
         F.col("payload_id").cast("bigint").alias("payload_id"),
         F.col("project_root").cast("string").alias("project_root"),
@@ -267,60 +279,59 @@ def path_verdict(path: Column) -> Column:
     )
 
 
-def classified_files(df: DataFrame, known: DataFrame) -> DataFrame:
-    """``payload_id, project_root, path, verdict, share, uses, literal, shared``; verdict is null for hand-written files.
+def shared_cover(features: DataFrame, salt: int = 16) -> DataFrame:
+    """``row, third_cover, common_cover``: tokens of each file in rules of third-party files, and in rules of three repositories.
+
+    A rule is third-party's if at least two repositories have it and any file with it is
+    ``anchor``, however many copies aren't. Holders are folded by rule and repository before
+    they are counted; a rule that a third of all files have is joined in ``salt`` parts.
+    """
+    pairs = features.select("row", F.coalesce("project_root", F.lit("")).alias("root"), "anchor", F.inline(F.arrays_zip("rules", "weights")))
+    by_root = pairs.groupBy("rules", "root").agg(F.bool_or("anchor").alias("anchor"))
+    rules = by_root.groupBy("rules").agg(F.bool_or("anchor").alias("_third"), F.count(F.lit(1)).alias("_roots")).where((F.col("_roots") >= 3) | (F.col("_third") & (F.col("_roots") >= 2)))
+    parts = rules.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    held = pairs.select("row", "rules", "weights", F.pmod(F.xxhash64("row"), F.lit(salt)).cast("int").alias("_s")).join(parts, ["rules", "_s"])
+    return held.groupBy("row").agg(F.sum(F.when(F.col("_third"), F.col("weights")).otherwise(0)).alias("third_cover"), F.sum(F.when(F.col("_roots") >= 3, F.col("weights")).otherwise(0)).alias("common_cover"))
+
+
+def classified_files(df: DataFrame, known: DataFrame, trust_marks: bool = True) -> DataFrame:
+    """``payload_id, project_root, path, verdict, share, uses, bare, shared``; verdict is null for hand-written files.
 
     ``known``: digests of third-party files (``sha256``). Null paths, roots and contents are
     allowed: such files are judged by what is there. Empty files are hand-written unless the
-    path says otherwise. Repeated rows count each for itself. A rule that a third of all
-    files share is one row after the aggregation that runs before the shuffle.
+    path says otherwise. Repeated rows count each for itself. ``trust_marks=False`` leaves
+    head comments and paths out, so that only suffixes, digests and the grammars decide.
     """
-    # A checkpoint in the shared folder: the measures are used three times, the files are read once.
-    ensure_checkpoint_dir(df.sparkSession)
-    f = file_features(df).checkpoint()
-    says = path_verdict(F.col("path"))
+    # A table in the shared folder: the measures are used three times, the files are read once.
+    f = kept(file_features(df).withColumn("row", F.monotonically_increasing_id()))
     digests = known.select(F.lower("sha256").alias("sha")).where("sha IS NOT NULL").distinct().withColumn("known", F.lit(True))
-    f = f.join(digests, "sha", "left").withColumn("says", says).withColumn("known", F.coalesce("known", F.lit(False)))
-    anchor = F.col("known") | F.col("third") | F.coalesce(F.col("says") == "vendored", F.lit(False))
-
-    pairs = f.select("payload_id", F.coalesce("project_root", F.lit("")).alias("project_root"), anchor.alias("anchor"), F.inline(F.arrays_zip("rules", "weights"))).where("weights >= 2")
-    shared = (
-        pairs.groupBy("rules")
-        .agg(F.min("project_root").alias("a"), F.max("project_root").alias("b"), F.avg(F.col("anchor").cast("int")).alias("anchored"))
-        .where("anchored >= 0.5 AND a <> b")
-        .select("rules")
-    )
-    # The rules of known packages are few; those of a hot rule's files are spread by file below.
-    salt = 8
-    spread = shared.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    cover = (
-        pairs.withColumn("_s", F.pmod(F.xxhash64("payload_id"), F.lit(salt)).cast("int"))
-        .join(spread, ["rules", "_s"], "left_semi")
-        .groupBy("payload_id")
-        .agg(F.sum("weights").alias("lines"))
-    )
-    all_lines = F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    f = f.join(digests, "sha", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    if trust_marks:
+        f = f.withColumn("says", path_verdict(F.col("path")))
+    else:
+        f = f.withColumns({"says": F.lit(None).cast("string"), "tool": F.lit(False), "third": F.lit(False), "lock": F.lit(False)})
+    f = f.withColumn("anchor", F.col("known") | F.col("third") | F.coalesce(F.col("says") == "vendored", F.lit(False)))
+    j = f.join(shared_cover(f), "row", "left")
+    share_of = lambda c: F.coalesce(F.col(c) / F.greatest("n_tokens", F.lit(1)), F.lit(0.0))
     code = F.col("path").rlike(_CODE_SUFFIX)
     script = F.col("path").rlike(r"(?i)\.(?:js|mjs|cjs|jsx|ts|tsx|css)$")
     minified = script & (F.col("n_tokens") >= 40) & (F.col("blank") < 0.08) & (F.col("name_length") < 4.5) & (F.col("line_length") >= 200)
-    data = code & (F.col("literal") >= 0.7) & (F.col("fresh") >= 0.02) & ((F.col("n_tokens") >= 40) | (F.col("line_length") >= 200))
-    regular = (F.col("uses") >= 4) | (F.col("left") <= 0.75 * F.col("n_tokens"))
-    generated = code & ((F.col("tool") & regular) | ((F.col("says") == "generated") & (F.col("share") >= 0.15)) | (F.col("tool") & (F.col("n_tokens") < 60)))
+    told = F.col("tool") | F.coalesce(F.col("says") == "generated", F.lit(False))
+    generated = code & (((F.col("share") >= 0.9) & (F.col("uses") >= 16)) | (told & (F.col("left") <= 0.8 * F.col("n_tokens"))))
+    data = code & (F.col("bare") >= 0.7) & ((F.col("n_tokens") >= 40) | (F.col("line_length") >= 200))
+    long = F.col("n_tokens") >= 150
+    copied = code & ((share_of("third_cover") >= F.when(long, 0.7).otherwise(0.85)) | ((share_of("common_cover") >= 0.9) & long))
     verdict = (
         F.when(F.col("says").isin("lock", "map"), F.col("says"))
         .when(F.col("lock") & F.col("path").rlike(r"(?i)\.json$"), "lock")
         .when(F.col("known"), "vendored")
+        .when(copied, "vendored")
         .when(code & (F.col("third") | (F.col("says") == "vendored")), "vendored")
-        .when(code & (F.col("shared") >= 0.4), "vendored")
         .when(minified | (F.col("says") == "minified"), "minified")
+        .when(data & ~told, "data")
         .when(generated, "generated")
-        .when(data, "data")
-    )
-    return (
-        f.join(cover, "payload_id", "left")
-        .withColumn("shared", F.coalesce(F.col("lines") / F.greatest(all_lines, F.lit(1)), F.lit(0.0)))
-        .select("payload_id", "project_root", "path", verdict.alias("verdict"), "share", "uses", "literal", "shared")
     )
+    return j.select("payload_id", "project_root", "path", verdict.alias("verdict"), "share", "uses", "bare", F.greatest(share_of("third_cover"), share_of("common_cover")).alias("shared"))
 
 
 def classified_entries(entries: DataFrame, files: DataFrame) -> DataFrame:

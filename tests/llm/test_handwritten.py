@@ -43,6 +43,31 @@ def test_files(spark):
     assert classified_files(df.limit(0), k).count() == 0
 
 
+def test_grammars_decide_alone(spark):
+    lib = _hand(1) + _hand(21)
+    altered = lib.replace("import os", "import sys")
+    accessors = "".join(f"int get{chr(97 + i % 26)}{i}() {{ return field{i}; }}\n" for i in range(300))
+    listed = "# Code generated by tool. DO NOT EDIT.\n" + _hand(9)
+    third = "# somelib - release 1.2.3\n" + lib
+    # One copy says where it comes from; any number of others in other repositories doesn't take its word away.
+    data = [(1, "a", "lib/x.py", third)] + [(10 + i, f"r{i}", f"src/m{i}.py", altered) for i in range(20)]
+    data += [(2, "a", "src/Model.java", accessors), (3, "a", "src/t.py", BLOB), (4, "a", "src/h.py", _hand(5)), (5, "a", "src/i.py", listed)]
+    df = spark.createDataFrame(data, "payload_id bigint, project_root string, path string, content string")
+    none = spark.createDataFrame([], "sha256 string")
+    bare = {r.payload_id: r.verdict for r in classified_files(df, none, trust_marks=False).collect()}
+    assert bare.pop(1) is not None
+    assert bare == {2: "generated", 3: "data", 4: None, 5: None} | {10 + i: "vendored" for i in range(20)}
+    two = {r.payload_id: r.verdict for r in classified_files(df.where("payload_id IN (1, 10)"), none).collect()}
+    assert two == {1: "vendored", 10: "vendored"}
+
+
+def test_bare_literals():
+    r = random.Random(3)
+    fresh = [r.getrandbits(60) for _ in range(200)]
+    g = repair(np.array(fresh + fresh[:2] * 50, np.uint64), np.array([0] * 200 + [1] * 100), 2, np.ones(300))
+    assert g["bare"].tolist() == [200.0, 0.0]
+
+
 def test_repair_by_hand():
     s = np.array([1, 2, 1, 2, 1, 2, 1, 2, 9, 1, 2, 3, 4, 5], np.uint64)
     f = np.array([0] * 9 + [1] * 5)
