@@ -67,3 +67,15 @@ def test_ties_and_repeated_rows(spark):
     base = (1, "p", 1, datetime(2024, 1, 1), "f", "C", 1, "HIGH", "high", "d", "", "")
     data = [base, base, (2, "p", 1, datetime(2024, 1, 1), "f", "C", 1, "LOW", "high", "d", "", ""), (3, "p", 2, datetime(2023, 1, 1), "f", "C", 1, "LOW", "high", "d", "", "")]
     assert rows(issue_changes(spark.createDataFrame(data, SCHEMA))) == []
+
+
+def test_split_groups_and_a_full_bitmap(spark):
+    from pyspark.sql import functions as F
+
+    from codeloom.operators.snapshot_diff import snapshot_changes
+
+    data = _data(600, 5)
+    df = spark.createDataFrame(data, SCHEMA).select("row_id", "project_root", "snapshot_no", "ingested_at", F.col("file").alias("f"), "severity")
+    args = dict(group={"project_root": F.col("project_root")}, snapshot="snapshot_no", key={"file": F.col("f")}, compare=[F.col("severity")], version=(F.unix_micros("ingested_at"), F.col("row_id")))
+    whole = rows(snapshot_changes(df, **args))
+    assert whole and rows(snapshot_changes(df, **args, bucket_rows=7, most_words=1)) == whole
