@@ -12,6 +12,8 @@ belongs to the wording itself, the sentence may be about placeholders.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import shuffle_partitions, spread
+from codeloom.session import kept, shuffle_partitions, spread
 
 # Openings of messages that stand where content should be, in lower case,
 # with <*> for numbers, ids and paths. A message has to begin with one.
@@ -108,6 +110,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 # Words of the usual Latin filler that English, German, French and Spanish don't use as ordinary words.
 LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum nec porta vestra".split())
 
+WILD = "<*>"
+# The depth of the tree below the length, and the share of positions in which a message agrees with its template.
+DEPTH, ALIKE = 2, 0.7
 # kind: 0 plain, 1 with a placeholder, 2 filler
 MESSAGES = "doc_id bigint, kind int, message string"
 
@@ -148,6 +153,42 @@ def _body(s: str) -> tuple[int, str]:
     return int(bool(slots)), " ".join(re.sub(r"\0\d+\0", "<*>", t) for t in tokens)
 
 
+def _mask(s: str) -> tuple[int, str] | None:
+    """(kind, masked message) of one sentence."""
+    if re.match(r'\{\s*"', s):
+        return _body(s)
+    if s.startswith("<Error>"):
+        s = "<Error> " + s[7:]
+    plain = _LINK.sub("<*>", _QUOTED.sub("<q>", s))
+    slots: list[str] = []
+
+    def put(m: re.Match) -> str:
+        slots.append(m[0])
+        return " <slot>" + re.sub(r"\s+", "_", m[0]) + " "
+
+    masked = SLOT.sub(put, plain)
+    if not slots and _VALUE.search(s):
+        masked = "<slot>value " + masked
+        slots.append("value")
+    tokens = [t if t.startswith("<slot>") else "<*>" if _OPAQUE.match(t) and t != "<q>" else t for t in masked.split()]
+    return (int(bool(slots)), " ".join(tokens)) if tokens else None
+
+
+def _line(body: str) -> tuple[tuple[int, str], ...]:
+    """The messages of one line without its list or heading mark."""
+    out = []
+    if _filler(body):
+        out.append((2, "filler"))  # random words have no template
+    if _EMPTY.search(body) and not body.lstrip().startswith(("|", "-")):
+        out.append((1, "<slot>empty"))
+    out += [m for s in _SENTENCE.split(body.strip()) if (m := _mask(s.strip()))]
+    return tuple(out)
+
+
+# Lines repeat a lot between documents; the memory of them is bounded, and forgetting changes nothing.
+_remembered = functools.lru_cache(maxsize=100_000)(_line)
+
+
 def messages(text: str | None) -> Iterator[tuple[int, str]]:
     """(kind, masked message) of a text, outside code blocks. Numbers, ids and paths are ``<*>``, quotations ``<q>``, a placeholder is one token ``<slot>...``."""
     if not text or not text.strip():
@@ -166,31 +207,7 @@ def messages(text: str | None) -> Iterator[tuple[int, str]]:
             continue  # an indented sample
         if not line.startswith((" ", "\t")):
             before = line
-        if _filler(body):
-            yield 2, "filler"  # random words have no template
-        if _EMPTY.search(body) and not body.lstrip().startswith(("|", "-")):
-            yield 1, "<slot>empty"
-        for s in _SENTENCE.split(body.strip()):
-            s = s.strip()
-            if re.match(r'\{\s*"', s):
-                yield _body(s)
-                continue
-            if s.startswith("<Error>"):
-                s = "<Error> " + s[7:]
-            plain = _LINK.sub("<*>", _QUOTED.sub("<q>", s))
-            slots: list[str] = []
-
-            def put(m: re.Match) -> str:
-                slots.append(m[0])
-                return " <slot>" + re.sub(r"\s+", "_", m[0]) + " "
-
-            masked = SLOT.sub(put, plain)
-            if not slots and _VALUE.search(s):
-                masked = "<slot>value " + masked
-                slots.append("value")
-            tokens = [t if t.startswith("<slot>") else "<*>" if _OPAQUE.match(t) and t != "<q>" else t for t in masked.split()]
-            if tokens:
-                yield (1 if slots else 0), " ".join(tokens)
+        yield from _remembered(body) if len(body) <= 1000 else _line(body)
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,33 +225,59 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(texts, pa.string())], names)
 
 
-def mine(tokens: list[list[str]], alike: float = 0.6) -> list[list[str]]:
-    """Template of each message of one leaf; messages come in a fixed order."""
-    clusters: list[list[str]] = []
-    index: dict[str, list[int]] = {}
-    of: list[int] = []
-    for t in tokens:
-        best, score = -1, alike * len(t)
-        # Clusters that share the last token first; a perfect one ends the search.
-        for c in index.get(t[-1], ()) if t[-1] in index else range(len(clusters)):
-            same = sum(a == b or a == "<*>" for a, b in zip(clusters[c], t, strict=True))
-            if same >= score and same > 0:
+class Leaf:
+    """Templates of messages of one length, in the order in which the messages come.
+
+    A message joins the template with which it agrees in most positions, wildcards included,
+    if they are at least ``alike`` of all; the earlier template wins a tie. With at most k
+    positions in which they may differ, a message and its template agree in at least one of
+    any k + 1 groups of positions as a whole. So templates are listed under the constants of
+    each group, by the group's pattern of wildcards, and only those listed are compared.
+    """
+
+    def __init__(self, n: int, alike: float) -> None:
+        self.need = max(1, math.ceil(alike * n))
+        k = n - self.need + 1
+        self.groups = [tuple(range(i, n, k)) for i in range(k)]
+        self.templates: list[list[str]] = []
+        self.listed: list[dict[tuple[int, ...], dict[tuple[str, ...], list[int]]]] = [{} for _ in self.groups]
+
+    def _list(self, c: int, g: int) -> None:
+        t = self.templates[c]
+        fixed = tuple(i for i in self.groups[g] if t[i] != WILD)
+        self.listed[g].setdefault(fixed, {}).setdefault(tuple(t[i] for i in fixed), []).append(c)
+
+    def add(self, t: list[str]) -> int:
+        near = {c for by_pattern in self.listed for fixed, found in by_pattern.items() for c in found.get(tuple(t[i] for i in fixed), ())}
+        best, score = -1, self.need - 1
+        for c in sorted(near):
+            same = sum(a == b or a == WILD for a, b in zip(self.templates[c], t, strict=True))
+            if same > score:
                 best, score = c, same
                 if same == len(t):
                     break
-        if best < 0 and t[-1] in index:
-            for c in range(len(clusters)):
-                same = sum(a == b or a == "<*>" for a, b in zip(clusters[c], t, strict=True))
-                if same >= score and same > 0:
-                    best, score = c, same
         if best < 0:
-            clusters.append(list(t))
-            index.setdefault(t[-1], []).append(len(clusters) - 1)
-            best = len(clusters) - 1
-        else:
-            clusters[best] = [a if a == b else "<*>" for a, b in zip(clusters[best], t, strict=True)]
-        of.append(best)
-    return [clusters[c] for c in of]
+            best = len(self.templates)
+            self.templates.append(list(t))
+            for g in range(len(self.groups)):
+                self._list(best, g)
+            return best
+        own = self.templates[best]
+        changed = [i for i, (a, b) in enumerate(zip(own, t, strict=True)) if a != b and a != WILD]
+        for i in changed:
+            own[i] = WILD
+        for g in {i % len(self.groups) for i in changed}:
+            self._list(best, g)
+        return best
+
+
+def mine(tokens: list[list[str]], alike: float = ALIKE) -> list[list[str]]:
+    """Template of each message of one leaf; messages come in a fixed order."""
+    if not tokens:
+        return []
+    leaf = Leaf(len(tokens[0]), alike)
+    of = [leaf.add(t) for t in tokens]
+    return [leaf.templates[c] for c in of]
 
 
 _RESIDUE = [("error", re.compile("|".join(f"(?:{p})" for p in ERROR_OPENINGS))), ("scripts", re.compile("|".join(f"(?:{p})" for p in SCRIPT_OPENINGS))), ("filler", re.compile("|".join(f"(?:{p})" for p in FILLER_OPENINGS)))]
@@ -262,55 +305,64 @@ def slot_verdict(template: list[str], message: list[str]) -> str:
     return "ordinary" if META.search(rest) else "slot"
 
 
-def _mine_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leaf, message, n, kind) sorted by leaf -> verdicts other than ordinary."""
-    leaf, rows = None, []
-
-    def flush() -> pa.RecordBatch | None:
-        tokens = [m.split(" ") for m, _, _ in rows]
-        found: dict[tuple, str] = {}
-        out = []
-        for (message, _, kind), tok, template in zip(rows, tokens, mine(tokens), strict=True):
-            key = tuple(template)
-            verdict = found.get(key)
-            if verdict is None:
-                verdict = found[key] = classify(template)
-            if verdict == "ordinary" and "<*>" in template:
-                verdict = classify(tok)  # wildcards may have taken what tells this message apart
-            if verdict == "ordinary" and kind == 1:
-                verdict = slot_verdict(template, tok)
-            if verdict != "ordinary":
-                out.append((message, verdict, " ".join(template)))
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(3)], ["message", "verdict", "template"]) if out else None
-
+def _grouped(batches: Iterator[pa.RecordBatch], alike: float) -> Iterator[tuple[list[tuple], list[list[str]]]]:
+    """(rows, template of each) of each group of rows, which come sorted by their first column; the second is the text."""
+    group, rows = None, []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if r[0] != group:
+                if rows:
+                    yield rows, mine([x[1].split(" ") for x in rows], alike)
+                group, rows = r[0], []
+            rows.append(r)
+    if rows:
+        yield rows, mine([x[1].split(" ") for x in rows], alike)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, message, leaf, kind) sorted by part -> (leaf, part's template, message, kind)."""
+    for rows, templates in _grouped(batches, ALIKE):
+        yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([" ".join(t) for t in templates], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int32())], ["leaf", "part_template", "message", "kind"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (leaf, part's template) sorted by leaf -> (leaf, part's template, leaf's template, its verdict)."""
+    for rows, templates in _grouped(batches, ALIKE):
+        verdict: dict[str, str] = {}
+        names = [" ".join(t) for t in templates]
+        for name, t in zip(names, templates, strict=True):
+            if name not in verdict:
+                verdict[name] = classify(t)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(names, pa.string()), pa.array([verdict[x] for x in names], pa.string())], ["leaf", "part_template", "template", "verdict"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (message, template, verdict): ordinary ones have a placeholder, about which the template decides."""
     for b in batches:
-        for le, m, n, k in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if le != leaf:
-                if rows and (done := flush()):
-                    yield done
-                leaf, rows = le, []
-            rows.append((m, n, k))
-    if rows and (done := flush()):
-        yield done
+        m, t, v = (b.column(i).to_pylist() for i in range(3))
+        out = [slot_verdict(y.split(" "), x.split(" ")) if z == "ordinary" else z for x, y, z in zip(m, t, v, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(1)], ["message", "verdict", "template"])
 
 
-def template_verdicts(found: DataFrame, leaf_rows: int = 100_000) -> DataFrame:
+def template_verdicts(found: DataFrame, parts: int = 64) -> DataFrame:
     """``message, verdict, template`` of every distinct message whose verdict isn't ordinary.
 
-    ``found`` has the columns of ``MESSAGES``. Equal messages are counted before the
-    shuffle. A leaf of more than ``leaf_rows`` distinct messages is split by hash, so that
-    no task holds an unbounded leaf; templates are then mined in each part.
+    ``found`` has the columns of ``MESSAGES``. Equal messages are folded before the shuffle.
+    Every leaf, of whatever size, is mined in ``parts`` parts by the messages' hash, and the
+    templates of its parts are then mined once more into those of the leaf; so no task holds
+    the messages of a hot leaf, and templates and verdicts don't depend on the corpus' size.
     """
     n = shuffle_partitions(found.sparkSession)
-    parts = F.split("message", " ")
-    first = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
-    free = lambda c: F.when(c.startswith("<slot>"), F.lit("<*>")).otherwise(c)
-    distinct = found.where("kind < 2").groupBy("message").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
-    leaves = distinct.withColumn("leaf", F.xxhash64(F.size(parts), free(first(0)), free(first(1))))
-    # All columns are used here, so that both uses of ``leaves`` read one exchange.
-    hot = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_n"), F.max("kind").alias("_kind")).where((F.col("_rows") > leaf_rows) & (F.col("_n") > 0) & (F.col("_kind") < 2)).select("leaf", F.ceil(F.col("_rows") / leaf_rows).cast("int").alias("_parts"))
-    keyed = leaves.join(hot, "leaf", "left").select(F.xxhash64("leaf", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64("message"), F.col("_parts")))).alias("leaf"), "message", "n", "kind")
-    return keyed.repartition(n, "leaf").sortWithinPartitions("leaf", "message").mapInArrow(_mine_partition, "message string, verdict string, template string")
+    words = F.split("message", " ")
+    first = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    free = lambda c: F.when(c.startswith("<slot>"), F.lit(WILD)).otherwise(c)
+    distinct = found.where("kind < 2").groupBy("message").agg(F.max("kind").alias("kind"))
+    leaves = distinct.withColumn("leaf", F.xxhash64(F.size(words), *[free(first(i)) for i in range(DEPTH)]))
+    keyed = leaves.select(F.xxhash64("leaf", F.pmod(F.xxhash64("message"), F.lit(parts))).alias("part"), "message", "leaf", "kind")
+    mined = kept(keyed.repartition(n, "part").sortWithinPartitions("part", "message").mapInArrow(_parts, "leaf bigint, part_template string, message string, kind int"))
+    whole = mined.select("leaf", "part_template").distinct().repartition(n, "leaf").sortWithinPartitions("leaf", "part_template").mapInArrow(_merge, "leaf bigint, part_template string, template string, verdict string")
+    told = mined.join(whole, ["leaf", "part_template"]).where("verdict <> 'ordinary' OR kind = 1").select("message", "template", "verdict")
+    return told.mapInArrow(_slots, "message string, verdict string, template string").where("verdict <> 'ordinary'")
 
 
 def residue_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", salt: int = 16) -> DataFrame:
@@ -321,7 +373,8 @@ def residue_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same id are one document. Whole texts are read. A message that a third of all documents
     share is joined in ``salt`` parts.
     """
-    found = spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL"), "doc_id").mapInArrow(_explode, MESSAGES)
+    # A table in the shared folder: messages are used twice, texts are cut once.
+    found = kept(spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL"), "doc_id").mapInArrow(_explode, MESSAGES))
     lines = df.sparkSession.createDataFrame([("filler", "filler")], "message string, verdict string")
     verdicts = template_verdicts(found).select("message", "verdict").unionByName(lines).select(F.xxhash64("message").alias("_m"), "message", "verdict").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     rows = found.select("doc_id", "message", F.xxhash64("message").alias("_m"), F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int").alias("_salt"))

@@ -25,12 +25,35 @@ def test_mining():
     assert t[0] == t[1] == ["a", "b", "<*>", "d"] and t[2] == ["q", "r", "s", "t"]
 
 
-def test_hot_leaf_is_split(spark):
+def test_a_leaf_in_parts_gives_what_it_gives_whole(spark):
     from codeloom.llm import residue as R
 
-    data = [(i, f"Your session {chr(97 + i % 26)}{chr(97 + i // 26)} ok") for i in range(200)] + [(999, "Your session has expired.")]
+    data = [(i, f"Your session of the {chr(97 + i % 26)}{chr(97 + i // 26)} user is still in use today") for i in range(200)]
+    data += [(999, "Your session has expired."), (998, "Your session of the {{ name }} user is still in use today")]
     found = spark.createDataFrame(data, "doc_id bigint, text string").mapInArrow(R._explode, R.MESSAGES)
-    assert rows(R.template_verdicts(found, leaf_rows=20).select("verdict")) == [("error",)]
+    one, many = (rows(R.template_verdicts(found, parts=k)) for k in (1, 64))
+    assert one == many and sorted(v for _, v, _ in one) == ["error", "slot"]
+    assert {t for _, v, t in one if v == "slot"} == {"Your session of the <*> user is still in use today"}
+
+
+def test_mining_takes_time_in_proportion():
+    import random
+    import time
+
+    from codeloom.llm.residue import Leaf
+
+    r = random.Random(1)
+    word = lambda: f"w{r.randrange(50)}"
+    spent = []
+    for n in (2_000, 8_000):
+        leaf = Leaf(12, 0.7)
+        texts = [["a", "b", *[word() for _ in range(10)]] for _ in range(n)]
+        began = time.process_time()
+        for t in texts:
+            leaf.add(t)
+        spent.append(time.process_time() - began)
+        assert len(leaf.templates) > 0.9 * n
+    assert spent[1] < 10 * spent[0]  # quadratic would be 16 times
 
 
 def test_bodies_are_read_as_a_whole():
