@@ -105,7 +105,14 @@ _NOTHING = frozenset(["null", "false", "0", '""', "[]", "{}"])
 _SAYING = frozenset("message msg detail details title description reason error error_description errormessage error_message".split())
 _ERROR_KEY = re.compile(r'"(?:errors?|error_?(?:code|message|description|type)|fault(?:string|code)?|exception|stack_?trace|traceback)": (?!nothing(?: |$))')
 _SAID = re.compile(rf'"(?:{"|".join(sorted(_SAYING))})": ([^"]+)')
-_OPAQUE = re.compile(r"^(?=.*[\d/\\]).+$")
+_OPAQUE = re.compile(r"[\d/\\]")
+# What a match of the expressions above can't do without; looked for first, since most sentences have none of it.
+_SLOT_SIGN = re.compile(r"[{%<$#@\[(_]|TODO|TBD|FIXME|yyyy|dd[./]|mm/|jj/|tt\.")
+_QUOTE_SIGN = re.compile(r"[`\"“„«'‘]")
+_LINK_SIGN = re.compile(r"[\[/<]")
+_VALUE_SIGN = re.compile(r"None|null|undefined|NaN|Object\]|Invalid Date")
+_EMPTY_SIGN = re.compile(r"^(?:Dear|H|Lieb|Bonjour|Ch|Estimad)|\s{2}")
+_JSON = re.compile(r'\{\s*"')
 _WORD = re.compile(r"[^\W\d_]+")
 # Words of the usual Latin filler that English, German, French and Spanish don't use as ordinary words.
 LATIN = frozenset("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum nec porta vestra".split())
@@ -119,7 +126,7 @@ MESSAGES = "doc_id bigint, kind int, message string"
 
 def _filler(line: str) -> bool:
     """One word again and again, or mostly Latin filler."""
-    words = [w.lower() for w in _WORD.findall(line)]
+    words = _WORD.findall(line.lower())
     if len(words) >= 4 and len(set(words)) == 1:
         return True
     if len(words) < 5:
@@ -145,7 +152,7 @@ def _body(s: str) -> tuple[int, str]:
         if value.lower() in _NOTHING:
             tokens.append("nothing")
         elif key in _SAYING and words:
-            tokens += ["<*>" if _OPAQUE.match(w) else w for w in words]
+            tokens += ["<*>" if _OPAQUE.search(w) else w for w in words]
         elif not held:
             tokens.append("<*>")
         tokens += held
@@ -155,22 +162,25 @@ def _body(s: str) -> tuple[int, str]:
 
 def _mask(s: str) -> tuple[int, str] | None:
     """(kind, masked message) of one sentence."""
-    if re.match(r'\{\s*"', s):
+    if s.startswith("{") and _JSON.match(s):
         return _body(s)
     if s.startswith("<Error>"):
         s = "<Error> " + s[7:]
-    plain = _LINK.sub("<*>", _QUOTED.sub("<q>", s))
+    plain = _QUOTED.sub("<q>", s) if _QUOTE_SIGN.search(s) else s
+    plain = _LINK.sub("<*>", plain) if _LINK_SIGN.search(plain) else plain
     slots: list[str] = []
 
     def put(m: re.Match) -> str:
         slots.append(m[0])
         return " <slot>" + re.sub(r"\s+", "_", m[0]) + " "
 
-    masked = SLOT.sub(put, plain)
-    if not slots and _VALUE.search(s):
+    masked = SLOT.sub(put, plain) if _SLOT_SIGN.search(plain) else plain
+    if not slots and _VALUE_SIGN.search(s) and _VALUE.search(s):
         masked = "<slot>value " + masked
         slots.append("value")
-    tokens = [t if t.startswith("<slot>") else "<*>" if _OPAQUE.match(t) and t != "<q>" else t for t in masked.split()]
+    tokens = masked.split()
+    if slots or _OPAQUE.search(masked):
+        tokens = [t if t.startswith("<slot>") else "<*>" if not t.isalpha() and _OPAQUE.search(t) else t for t in tokens]
     return (int(bool(slots)), " ".join(tokens)) if tokens else None
 
 
@@ -179,7 +189,7 @@ def _line(body: str) -> tuple[tuple[int, str], ...]:
     out = []
     if _filler(body):
         out.append((2, "filler"))  # random words have no template
-    if _EMPTY.search(body) and not body.lstrip().startswith(("|", "-")):
+    if _EMPTY_SIGN.search(body) and _EMPTY.search(body) and not body.lstrip().startswith(("|", "-")):
         out.append((1, "<slot>empty"))
     out += [m for s in _SENTENCE.split(body.strip()) if (m := _mask(s.strip()))]
     return tuple(out)
