@@ -36,6 +36,7 @@ _NAME = re.compile(rf"(?:^|[_\-.]|(?<=[a-z0-9])(?=[A-Z]))(?i:{_SECRET})(?=$|[_\-
 _ABOUT = re.compile(
     r"(?i)(?:^|[_\-.]|(?<=[a-z]))(?:file|path|dir|url|uri|endpoint|host|name|names|field|input|header|ttl|type|kind|rules?|policy|min_?length|max_?length|length|max_?age|age|days|ref|refs|reference|id|ids|label|labels|hint|help|usage|regex|re|rx|pattern|patterns|env|var|variable|count|counts|limit|limits|budget|expiry|expires|expiration|expires_?(?:in|at)|timeout|store|provider|sha1|sha256|sha512|md5|hash|hashes|digest|checksum|fingerprint|public|pub|format|prefix|suffix|scope|scopes|issuer|title|text|message|error|prompt|placeholder|example|status|enabled|required|strength|size|version|location|manager|service|class|column|index|rotation|interval|attempts|retries|template|form|page|reset|link|alias|source|from)$"
 )
+_COUNT = re.compile(r"(?i)token[_\-.]?counts?(?![a-z])")
 _SAMPLE = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|change[_\- ]?(?:me|this|it)|your[_\-]|redacted|fixme|todo|<[^>]*>|^(?:x+|\*+|\.+|-+|0+|_+|#+|\?+)$|hunter2|s3cr3t|p[a4]ssw[o0]rd\d{0,3}!?$|^secret\d{0,3}$|^(?:test|foo|bar|admin|root|guest|letmein|qwerty|abc|none|null|true|false|nil|undefined)\d{0,3}$|correct.?horse|abcdef|0123456789|123456|deadbeef|xxxx|fake|mock|insert|replace")
 _REFERENCE = re.compile(r"\$\{|\$\(|\{\{|\}\}|%\(|%\w+%|<%|^\$[A-Za-z_]|^%|^@|\{\w*\}|^env[:.(]|os\.environ|getenv|process\.env|^vault[:/]|^(?:arn|ssm|secretsmanager|gcp|azure|keyring|op|file|ref|sops|doppler|kms)[:/]|^/(?:[\w.\-]+/)*[\w.\-]*$|^\./|^~/|^ENC\[|^!|secretref", re.I)
 _HASH = re.compile(r"(?i)^(?:sha\d+|md5|blake\w*)[-:=]|^\$(?:1|2[abxy]?|5|6|apr1|y|argon2\w*|pbkdf2\S*|scrypt)\$|^\{(?:SSHA|SHA|MD5|CRYPT)\w*\}|^pbkdf2[_:]|^argon2|^bcrypt|^scrypt")
@@ -72,16 +73,23 @@ _ASSIGN = re.compile(
     r"(?P<name>[A-Za-z_\u00c0-\u017f][\w.\-\u00c0-\u017f]*)(?P<close>[\"'\]]{0,2})[ \t]*(?P<type>:[ \t]*(?:str|string|String|&str)[ \t]*(?==))?(?P<sep>:=|=>|==|!=|[:=])[ \t]*(?P<open>[(\[]?\s*(?:[bBrRuUfF@](?=[\"'`]))?)"
     r"(?:\"(?P<dq>(?:[^\"\\\n]|\\.)*)\"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`|(?P<bare>[^\s\"'`#,;(){}\[\]][^\s\"'`,;(){}\[\]]*))"
 )
-_SPOKEN = re.compile(r"(?i)\b(?P<name>(?:[a-z]+ ){0,2}(?:password|passwd|passphrase|secret|token|api key|access key|signing key|encryption key|credentials?|pwd|kennwort|pw|pass))(?: is| was| used to be)?[ \t]*(?:[:=]|\bis\b|\bwas\b)[ \t]*[\"'`]?(?P<bare>[^\s\"'`,;()]{6,})")
+_SPOKEN = re.compile(r"(?i)\b(?P<name>(?:password|passwd|passphrase|secret|token|api key|access key|signing key|encryption key|credentials?|pwd|kennwort|pw|pass))(?: is| was| used to be)?[ \t]*(?:[:=]|\bis\b|\bwas\b)[ \t]*[\"'`]?(?P<bare>[^\s\"'`,;()]{6,})")
 _PAIR = re.compile(r"(?i)\bname:[ \t]*[\"']?(?P<name>[\w.\-]+)[\"']?[ \t]*\n[ \t]*value:[ \t]*(?:\"(?P<dq>[^\"\n]*)\"|'(?P<sq>[^'\n]*)'|(?P<bare>[^\s#]+))")
-_URL = re.compile(r"[a-zA-Z][\w+.\-]*://(?P<user>[^\s/:@\"'`<>]*):(?P<bare>[^\s/@\"'`<>]+)@[\w.\-\[{$]")
+_URL = re.compile(r"(?<=[\w+.\-])://(?P<user>[^\s/:@\"'`<>]*):(?P<bare>[^\s/@\"'`<>]+)@[\w.\-\[{$]")
 _PARAM = re.compile(r"[?&](?:sig|signature|token|access_token|api_?key|key|secret|password|pwd|auth|code)=(?P<bare>[^\s&\"'`<>#)]+)", re.I)
 _BEARER = re.compile(r"(?i)(?:\b(?:Bearer|Token|Basic|ApiKey)[ \t]+|x-[\w\-]*(?:key|token|secret)[\"']?[ \t]*[:=,][ \t]*[\"']?)(?P<bare>[A-Za-z0-9+/=_.:\-~]{8,})")
 _FLAG = re.compile(r"(?<![\w\-])--?(?P<name>[\w\-]*(?:pass|password|passwd|pwd|secret|token|api-?key|access-?key|passphrase|auth-key)[\w\-]*)(?:=|[ \t]+)(?:\"(?P<dq>[^\"\n]*)\"|'(?P<sq>[^'\n]*)'|(?P<bare>[^\s\"'`]+))", re.I)
 _LOGIN = re.compile(r"(?<![\w\-])(?:-u|--user|--proxy-user)[ \t=]+[\"']?(?P<user>[\w.@$\-]+):[\"']?(?P<bare>[^\s\"'`@]+)")
 _CALL = re.compile(r"(?:set\w*|put\w*|define|add\w*|append|insert|env|header|export\w*|with\w*|getOrDefault|getenv|get|getProperty|withDefault|default)\([ \t]*[\"'`](?P<name>[\w.\-]+)[\"'`][ \t]*,[ \t]*(?:\"(?P<dq>(?:[^\"\\\n]|\\.)*)\"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|`(?P<bq>[^`\n]*)`)")
 _MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass|psql|redis-cli)\b[^\n|;]*?[ \t](?:-p|-a[ \t]+)[\"']?(?P<bare>[^\s\"'`\-][^\s\"'`]{5,})")
+# Every name of a credential has one of these in it, so only words with one are read as names.
+_HINT = re.compile(r"pass|pwd|pw|secret|token|key|cred|kennwort|contrase|clave|mot|webhook|sas|bearer|authorization", re.I)
+_IN_NAME = re.compile(r"[\w.\-]*")
+_DIGEST_WORD = re.compile(r"(?i)(?:sha[-_]?\d+|md5|blake\d|digest|checksum|fingerprint|commit|revision|integrity|etag)[\w\-]*[\"'\])]*[ \t]*(?:=>|[:=(,])?[ \t]*[\"'`]?$")
+# The one threshold: characters that the cheapest segmentation into words must leave over.
+RESIDUAL = 3
 _QUOTED_ONLY = frozenset([".py", ".js", ".ts", ".java", ".go", ".json", ".jsx", ".tsx"])
+_COMMENTED = re.compile(r"(?m:^)\s*(?:\*|/\*|--|;|<!--|[rR][eE][mM] )|#|//")
 _COMMENT = re.compile(r"\s*(?:#|//|\*|/\*|--)")
 _PIECE = re.compile(r"[a-z]+|[^a-z]+")
 
@@ -144,23 +152,37 @@ class Span:
 
 def _name_is_secret(name: str) -> bool:
     base = re.sub(r"[_\-]?\d+$", "", name)
-    return bool(_NAME.search(base)) and not _ABOUT.search(base)
+    return bool(_NAME.search(base)) and not _ABOUT.search(base) and not _COUNT.search(base)
 
 
-def _is_value(value: str, dictionary: Dictionary, least: int) -> bool:
+def _names(text: str, hints: list[tuple[int, int]]) -> Iterator[int]:
+    """Where the words around ``hints`` that may name a credential begin."""
+    end = 0
+    for at, stop in hints:
+        if at < end:
+            continue
+        while at and (text[at - 1].isalnum() or text[at - 1] in "_.-"):
+            at -= 1
+        end = _IN_NAME.match(text, stop).end()
+        while at < end and not (text[at] == "_" or text[at].isascii() and text[at].isalpha() or "\u00c0" <= text[at] <= "\u017f"):
+            at += 1
+        yield at
+
+
+def _is_value(value: str, dictionary: Dictionary) -> bool:
     """Whether a literal in the place of a credential is one."""
     v = value.strip()
     if len(v) < 6 or _REFERENCE.search(v) or _HASH.search(v):
         return False
     if _FORMAT_FULL.match(v):
-        return not re.search(r"(?i)example|0{6}|x{6}|1234567", v)
+        return not re.search(r"(?i)example|0{6}|x{6}|1234567", v) and dictionary.residual(v) >= RESIDUAL
     if _SAMPLE.search(v) and not (len(v) > 20 and dictionary.residual(v) > 16 and not re.search(r"(?i)example|sample|dummy|your|placeholder|changeme|redacted|<", v)):
         return False
     if re.match(r"[a-zA-Z][\w+.\-]*://", v) or len(re.findall(r"\s", v)) > 2:
         return False
     if v.isdigit() and len(v) < 8:
         return False
-    return dictionary.residual(v) >= least
+    return dictionary.residual(v) >= RESIDUAL
 
 
 def find_secrets(text: str, path: str, dictionary: Dictionary) -> list[Span]:
@@ -180,52 +202,61 @@ def find_secrets(text: str, path: str, dictionary: Dictionary) -> list[Span]:
         b = text.find("\n", at)
         return text[a : b if b >= 0 else len(text)]
 
-    for m in _PEM.finditer(text):
+    def secret(v: str, a: int) -> bool:
+        """Whether a value is one; bare digests behind a word for a digest are not."""
+        if not _is_value(v, dictionary):
+            return False
+        return not (_HEX.match(v) and _DIGEST_WORD.search(text[text.rfind("\n", 0, a) + 1 : a]))
+
+    # What each expression can't do without is looked for first: it is quicker and leaves nothing out.
+    low = text.casefold()
+    hints = [m.span() for m in _HINT.finditer(text)]
+    for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
         if not _PEM_BODY.match(text, m.end()):
             continue
         end = _PEM_END.search(text, m.end())
         nxt = _PEM.search(text, m.end())
         stop = end.end() if end and (not nxt or end.start() < nxt.start()) else m.end() + len(_PEM_BODY.match(text, m.end())[0])
         body = _PEM_END.sub("", text[m.end() : stop])
-        if re.search(r"(?i)example|dummy|placeholder|redacted", body[:200]) or len(set(re.findall(r"\w", re.sub(r"\\[nr]", "", body)))) < 4:
+        if re.search(r"(?i)example|dummy|placeholder|redacted", body) or len(set(re.findall(r"\w", re.sub(r"\\[nr]", "", body)))) < 4 or dictionary.residual(body) < RESIDUAL:
             continue  # a stand-in, or masked
         found.append(Span(m.start(), stop, "private key"))
     for m in _FORMAT.finditer(text):
         v = m[0]
-        if re.search(r"(?i)example|0{6}|x{6}|1234567", v):
+        if re.search(r"(?i)example|0{6}|x{6}|1234567", v) or dictionary.residual(v) < RESIDUAL:
             continue
         if v.startswith("eyJ") or not v[0].isdigit() or re.search(r"(?i)token|bot|key|secret|pass|auth|bearer|kennwort|pw", line_of(m.start())):
             found.append(Span(m.start(), m.end(), "token"))
-    for m in _URL.finditer(text):
+    for m in _URL.finditer(text) if "://" in text and "@" in text else ():
         v, a, b, _ = value(m)
         user = m["user"]
         if (v.isupper() and v.isalpha()) or _REFERENCE.search(v) or v.lower() == user.lower():
             continue
-        if _is_value(v, dictionary, 3):
+        if secret(v, a):
             found.append(Span(a, b, "url"))
-    for rx in (_BEARER, _PARAM):
-        for m in rx.finditer(text):
+    for rx, there in ((_BEARER, any(w in low for w in ("bearer", "token", "basic", "apikey", "x-"))), (_PARAM, "?" in text or "&" in text)):
+        for m in rx.finditer(text) if there else ():
             v, a, b, _ = value(m)
-            if _is_value(v, dictionary, 8) and not _UUID.match(v):
+            if secret(v, a) and not _UUID.match(v):
                 found.append(Span(a, b, "header" if rx is _BEARER else "url"))
-    for m in _FLAG.finditer(text):
+    for m in _FLAG.finditer(text) if hints and "-" in text else ():
         v, a, b, _ = value(m)
-        if _name_is_secret(m["name"].lstrip("-")) and _is_value(v, dictionary, 4):
+        if _name_is_secret(m["name"].lstrip("-")) and secret(v, a):
             found.append(Span(a, b, "command"))
-    for rx in (_LOGIN, _MYSQL):
-        for m in rx.finditer(text):
+    for rx, there in ((_LOGIN, "-u" in text or "--proxy-user" in text), (_MYSQL, any(w in text for w in ("mysql", "mariadb", "sshpass", "psql", "redis-cli")))):
+        for m in rx.finditer(text) if there else ():
             v, a, b, _ = value(m)
-            if _is_value(v, dictionary, 4):
+            if secret(v, a):
                 found.append(Span(a, b, "command"))
-    for rx in (_PAIR, _CALL):
-        for m in rx.finditer(text):
+    for rx, there in ((_PAIR, "value:" in low), (_CALL, "(" in text)):
+        for m in rx.finditer(text) if hints and there else ():
             v, a, b, _ = value(m)
-            if _name_is_secret(m["name"]) and _is_value(v, dictionary, 4):
+            if _name_is_secret(m["name"]) and secret(v, a):
                 found.append(Span(a, b, "setting"))
     at = 0
-    while m := _ASSIGN.search(text, at):
-        at = m.end("sep")
-        if m["sep"] in ("==", "!=") or not _name_is_secret(m["name"].rsplit(".", 1)[-1]):
+    for begin in _names(text, hints):
+        m = _ASSIGN.match(text, begin) if begin >= at else None
+        if m is None or m["sep"] in ("==", "!=") or not _name_is_secret(m["name"].rsplit(".", 1)[-1]):
             continue
         v, a, b, bare = value(m)
         if bare and ("\n" in m["open"] or m["open"].strip()):
@@ -236,22 +267,28 @@ def find_secrets(text: str, path: str, dictionary: Dictionary) -> list[Span]:
             # a literal in pieces: the value is what the pieces make
             more = re.compile(r"(?:[\"'`]\s*(?:\+|\\)?\s*[\"'`]([^\"'`\n]*))+").match(text, b)
             whole = v + "".join(re.findall(r"[\"'`]\s*[+\\]?\s*[\"'`]([^\"'`\n]*)", more[0])) if more else v
-            if _is_value(whole, dictionary, 4):
+            if secret(whole, a):
                 found.append(Span(a, more.end() if more else b, "assignment"))
                 at = b
             continue
         more = re.compile(r"[\"'`](?:\s*(?:\+|\\)\s*[\"'`][^\"'`\n]*[\"'`]|\s*[\"'`][^\"'`\n]+[\"'`](?=\s*[);\n]))+").match(text, b) if not bare else None
         whole = v + "".join(re.findall(r"[\"'`]([^\"'`\n]+)[\"'`]", more[0][1:])) if more else v
-        if _is_value(whole, dictionary, 4):
+        if secret(whole, a):
             found.append(Span(a, more.end() - 1 if more else b, "assignment"))
             at = b
-    for m in _SPOKEN.finditer(text):
-        line = line_of(m.start())
-        if re.match(r"\s*(?:#|//|\*|/\*|--|;|<!--|rem )", line, re.I) or re.search(r"(?:#|//)[^\n]*$", line[: max(0, m.start() - text.rfind("\n", 0, m.start()))]):
-            v, a, b, _ = value(m)
-            v = v.rstrip(".)")
-            if _is_value(v, dictionary, 4):
-                found.append(Span(a, a + len(v), "comment"))
+    done = -1
+    for at, _ in hints:  # comments that speak of one
+        if at < done:
+            continue
+        first, done = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+        done = len(text) if done < 0 else done
+        marked = _COMMENTED.search(text, first, done)
+        for m in _SPOKEN.finditer(text, first, done) if marked else ():
+            if marked.start() < m.start() or marked.start() == first:
+                v, a, b, _ = value(m)
+                v = v.rstrip(".)")
+                if secret(v, a):
+                    found.append(Span(a, a + len(v), "comment"))
     found.sort(key=lambda s: (s.start, -s.end))
     out: list[Span] = []
     for s in found:
