@@ -2,10 +2,11 @@
 
 Sainte-Laguë apportionment: blocks of equal size go one after another to the source with
 the highest quotient share / (2 * blocks so far + 1) that can still supply a block, which
-gives every source an integer quota. A source's quota is apportioned to its shards of
-documents by their sizes in the same way. In a shard, documents come in a seeded order; the
-shard is used as often as its quota holds it whole, and what is left is filled in that
-order with the documents that fit.
+gives every source an integer quota. A source's quota is apportioned to groups of its shards
+and to the shards of each group by their sizes in the same way. A shard's documents, in a
+seeded order, are cut into blocks of equal tokens; the shard is used as often as its quota
+holds all its blocks, and its first blocks once more for what is left. A document belongs to
+the block in which its middle lies, so long and short ones are drawn alike.
 """
 
 from __future__ import annotations
@@ -99,50 +100,50 @@ def plan_mixes(totals: DataFrame, targets: DataFrame, shard_tokens: int = 2_000_
     return out
 
 
-def _share_out(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("shard")
-    pdf["shard_blocks"] = divide(pdf["shard_tokens"].to_numpy(), int(pdf["blocks"].iloc[0]))
-    # No shard beyond its repeats: what it can't take goes to the shards with room, largest first.
-    limit = (pdf["shard_tokens"] * pdf["max_repeats"] // pdf["block_tokens"]).to_numpy()
-    over = int(np.maximum(pdf["shard_blocks"].to_numpy() - limit, 0).sum())
-    got = np.minimum(pdf["shard_blocks"].to_numpy(), limit)
+def _share_out(pdf: pd.DataFrame, part: str) -> pd.DataFrame:
+    """The ``blocks`` of a whole divided among its parts by their ``tokens``."""
+    pdf = pdf.sort_values(part)
+    tokens, size = pdf["tokens"].to_numpy(), int(pdf["block_tokens"].iloc[0])
+    got = divide(tokens, int(pdf["blocks"].iloc[0]))
+    # No part beyond its repeats: what it can't take goes to the parts with room, largest first.
+    limit = tokens * pdf["max_repeats"].to_numpy() // size
+    over = int(np.maximum(got - limit, 0).sum())
+    got = np.minimum(got, limit)
     for i in np.argsort(-(limit - got), kind="stable"):
         if over <= 0:
             break
         more = min(over, int(limit[i] - got[i]))
         got[i] += more
         over -= more
-    pdf["shard_blocks"] = got
-    return pdf[["mix_name", "source", "shard", "shard_tokens", "shard_blocks", "block_tokens"]]
+    return pdf.assign(blocks=got)
 
 
 def _draw(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Uses of each document of one shard: whole rounds, then documents in their seeded order as long as they fit."""
+    """Uses of each document of one shard: whole rounds, and once more those in the first blocks of the seeded order."""
     pdf = pdf.sort_values(["_order", "doc_id"], kind="stable")
-    want = int(pdf["shard_blocks"].iloc[0]) * int(pdf["block_tokens"].iloc[0])
+    want = int(pdf["blocks"].iloc[0]) * int(pdf["block_tokens"].iloc[0])
     rounds, rest = divmod(want, int(pdf["shard_tokens"].iloc[0]))
-    times = np.full(len(pdf), rounds, np.int64)
-    if rounds < int(pdf["max_repeats"].iloc[0]):
-        for i, size in enumerate(pdf["n_tokens"].tolist()):
-            if size <= rest:
-                times[i] += 1
-                rest -= size
-                if not rest:
-                    break
+    size = pdf["n_tokens"].to_numpy()
+    middle = np.cumsum(size) - (size + 1) // 2
+    times = np.minimum(rounds + (middle < rest), pdf["max_repeats"].to_numpy())
     return pd.DataFrame({"mix_name": pdf["mix_name"], "source": pdf["source"], "doc_id": pdf["doc_id"], "n_tokens": pdf["n_tokens"], "times": times.astype(np.int32)})
 
 
 DRAWN = "mix_name, source, doc_id, n_tokens, times"
 
 
-def drawn(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFrame, list[tuple]]:
+_DIVIDED = "mix_name string, source string, shard_group int, blocks bigint, block_tokens bigint, max_repeats int"
+
+
+def drawn(sizes: DataFrame, targets: DataFrame, seed: int = 7, group: int = 4096) -> tuple[DataFrame, list[tuple]]:
     """``(DRAWN, plan)``: how often each document is used in each mix; documents that aren't used have no row.
 
     ``sizes``: ``doc_id, source, n_tokens`` with ``source`` trimmed and in lower case. It is
-    read twice, so it should be a table or a checkpoint. Documents with a null source or no
-    tokens are never drawn. Repeated rows are drawn each for itself. No document is used
-    more than ``max_repeats`` times. A shard holds about two million tokens whatever the
-    size of the source.
+    read twice, so it should be a table. Documents with a null source or no tokens are never
+    drawn. Repeated rows are drawn each for itself. No document is used more than
+    ``max_repeats`` times. A shard holds about two million tokens whatever the size of the
+    source, and a group ``group`` shards, so that no task divides more than the groups of a
+    source or the shards of a group.
     """
     spark = sizes.sparkSession
     usable = sizes.where("n_tokens > 0 AND source IS NOT NULL")
@@ -150,12 +151,18 @@ def drawn(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> tuple[DataFram
     plan = plan_mixes(totals, targets)
     p = spark.createDataFrame(plan, PLAN)
     docs = usable.join(p.where("blocks > 0"), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int"))
-    by_shard = docs.groupBy("mix_name", "source", "shard").agg(F.sum("n_tokens").alias("shard_tokens"), F.first("blocks").alias("blocks"), F.first("block_tokens").alias("block_tokens"), F.first("max_repeats").alias("max_repeats"))
-    shares = by_shard.groupBy("mix_name", "source").applyInPandas(_share_out, "mix_name string, source string, shard int, shard_tokens bigint, shard_blocks bigint, block_tokens bigint")
+    top = ["mix_name", "source"]
+    fixed = ["blocks", "block_tokens", "max_repeats"]
+    by_shard = docs.groupBy(*top, "shard", *fixed).agg(F.sum("n_tokens").alias("tokens")).withColumn("shard_group", F.floor(F.col("shard") / group).cast("int"))
+    by_group = by_shard.groupBy(*top, "shard_group", *fixed).agg(F.sum("tokens").alias("tokens"))
+    groups = by_group.groupBy(*top).applyInPandas(lambda pdf: _share_out(pdf, "shard_group")[[x.split()[0] for x in _DIVIDED.split(", ")]], _DIVIDED)
+    columns = [*top, "shard", "tokens", "blocks", "block_tokens"]
+    each = by_shard.drop(*fixed).join(groups, [*top, "shard_group"])
+    shares = each.groupBy(*top, "shard_group").applyInPandas(lambda pdf: _share_out(pdf, "shard")[columns], "mix_name string, source string, shard int, tokens bigint, blocks bigint, block_tokens bigint").withColumnRenamed("tokens", "shard_tokens")
     used = (
-        docs.select("mix_name", "source", "shard", "doc_id", "n_tokens", "max_repeats", F.xxhash64("doc_id", F.lit(seed + 1), F.col("mix_name")).alias("_order"))
-        .join(shares, ["mix_name", "source", "shard"])
-        .groupBy("mix_name", "source", "shard")
+        docs.select(*top, "shard", "doc_id", "n_tokens", "max_repeats", F.xxhash64("doc_id", F.lit(seed + 1), F.col("mix_name")).alias("_order"))
+        .join(shares, [*top, "shard"])
+        .groupBy(*top, "shard")
         .applyInPandas(_draw, "mix_name string, source string, doc_id bigint, n_tokens bigint, times int")
     )
     return used.where("times > 0").select(*DRAWN.split(", ")), plan

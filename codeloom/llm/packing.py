@@ -3,9 +3,9 @@
 Harmonic packing: with capacity C, a piece of size s in (C/(k+1), C/k] is of class k, and a
 container of class k takes exactly k pieces of it, whatever they are. Documents are spread
 over buckets by hash and every bucket is packed on its own. The pure scheme leaves up to
-half of a container of class 1 empty, so the gap above the fixed count is then topped up
-with the largest pieces of later classes that fit; only what is over after that opens a
-container of its own class. A document is split only if it exceeds the capacity, into full
+half of a container of class 1 empty, so with ``top_up`` the gap above the fixed count takes
+the largest pieces of later classes that fit; only what is over after that opens a
+container of its own class. ``fill_report`` over both shows what that gains. A document is split only if it exceeds the capacity, into full
 containers and one rest.
 """
 
@@ -20,8 +20,18 @@ from pyspark.sql import functions as F
 PACKED = "bin_name string, bin_id string, capacity_tokens int, doc_id bigint, piece int, n_tokens bigint"
 
 
-def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, top_up: bool = True) -> np.ndarray:
     """Container number of each piece; sizes are between 1 and ``capacity``."""
+    if not top_up:  # k pieces of class k to a container, classes one after another
+        kind = capacity // sizes
+        order = np.argsort(kind, kind="stable")
+        first = np.searchsorted(kind[order], kind[order])
+        place = (np.arange(len(sizes)) - first) // kind[order]
+        new = np.ones(len(sizes), bool)
+        new[1:] = (kind[order][1:] != kind[order][:-1]) | (place[1:] != place[:-1])
+        out = np.empty(len(sizes), np.int64)
+        out[order] = np.cumsum(new) - 1
+        return out
     order = np.argsort(-sizes, kind="stable")
     waiting: dict[int, list[int]] = {}
     mask = 0
@@ -55,13 +65,13 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_group(key: tuple, t: pa.Table) -> pa.Table:
+def _pack_group(key: tuple, t: pa.Table, top_up: bool = True) -> pa.Table:
     bin_name, bucket, capacity = (k.as_py() for k in key)
     order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
     ids, sizes = t.column("doc_id").to_numpy()[order], t.column("n_tokens").to_numpy()[order]
     full = (sizes - 1) // capacity  # full containers of a document that exceeds one
     rest = sizes - full * capacity
-    bins = pack(rest, capacity)
+    bins = pack(rest, capacity, top_up)
     n = int(bins.max()) + 1 if len(bins) else 0
     piece = np.concatenate([full, np.concatenate([np.arange(f) for f in full[full > 0]]) if full.any() else np.zeros(0, np.int64)]).astype(np.int32)
     doc = np.concatenate([ids, np.repeat(ids, full)])
@@ -74,14 +84,15 @@ def _pack_group(key: tuple, t: pa.Table) -> pa.Table:
     )
 
 
-def packed(sizes: DataFrame, bins: DataFrame, bucket_docs: int = 25_000) -> DataFrame:
+def packed(sizes: DataFrame, bins: DataFrame, bucket_docs: int = 25_000, top_up: bool = True) -> DataFrame:
     """``PACKED``: every piece of every document in a container, for each capacity in ``bins``.
 
     ``sizes`` has ``doc_id`` and ``n_tokens``; documents without tokens (null, empty texts)
     need no room and give no row. ``bins`` has ``bin_name`` and ``capacity_tokens``; rows
     whose capacity is null or below 1 are left out. Repeated document rows are packed each
     for itself. Pieces count from 0, the rest being the last. A bucket holds about
-    ``bucket_docs`` documents, so no task grows with the corpus.
+    ``bucket_docs`` documents, so no task grows with the corpus. Without ``top_up`` every
+    container of a class but the last of its bucket holds the class's fixed count.
     """
     n = max(1, -(-sizes.count() // bucket_docs))
     # The capacities are crossed in by an array in each row, not by a join.
@@ -90,7 +101,7 @@ def packed(sizes: DataFrame, bins: DataFrame, bucket_docs: int = 25_000) -> Data
         return sizes.sparkSession.createDataFrame([], PACKED)
     each = F.array(*[F.struct(F.lit(name).alias("bin_name"), F.lit(c).cast("int").alias("capacity_tokens")) for name, c in wanted])
     rows = sizes.where("n_tokens > 0").select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(n)).cast("int").alias("bucket"), F.explode(each).alias("_b")).select("doc_id", "n_tokens", "bucket", "_b.*")
-    return rows.groupBy("bin_name", "bucket", "capacity_tokens").applyInArrow(_pack_group, PACKED)
+    return rows.groupBy("bin_name", "bucket", "capacity_tokens").applyInArrow(lambda key, t: _pack_group(key, t, top_up), PACKED)
 
 
 def fill_report(pieces: DataFrame) -> DataFrame:

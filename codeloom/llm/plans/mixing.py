@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from codeloom.functions.columns import strip
 from codeloom.llm.mixing import drawn, share_report
 from codeloom.llm.tokens import sized
-from codeloom.session import ensure_checkpoint_dir, table
+from codeloom.session import kept, table
 
 
 def _drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple]]:
-    ensure_checkpoint_dir(spark)
     docs = table(spark, sf_dir, "documents")
-    sizes = sized(docs.select("doc_id", F.lower(strip(F.col("source"))).alias("source"), "text"), ["doc_id", "source"]).checkpoint()
+    sizes = kept(sized(docs.select("doc_id", F.lower(strip(F.col("source"))).alias("source"), "text"), ["doc_id", "source"]))
     return drawn(sizes, table(spark, sf_dir, "mix_targets"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import lexers
 from codeloom.llm.parse_tables import Parser, compile_grammar
+from codeloom.operators.python_facts import deep
 from codeloom.session import spread
 
 # Suffix -> language.
@@ -70,12 +71,13 @@ def first_error(language: str, text: str) -> tuple[int, str] | None:
     parser = _parser(language)
     try:
         kinds, breaks, lines = _GRAMMAR[language][1](text)
-        at = parser.error(kinds, breaks)
+        with deep():
+            at = parser.error(kinds, breaks)
         found = None if at < 0 else (lines[min(at, len(lines) - 1)], kinds[min(at, len(kinds) - 1)])
     except lexers.LexError as e:
         found = (e.line, e.what)
     except RecursionError:
-        return None  # nested deeper than the tables follow
+        found = (1, "nesting")
     return None if found is None or _accepted(language, text) else found
 
 

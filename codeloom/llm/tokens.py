@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +17,6 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _loaded: dict[str, object] = {}
-_LONG = 200_000  # characters encoded at once
 
 
 def encoder(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY):
@@ -33,20 +31,9 @@ def encoder(folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY):
     return _loaded[path]
 
 
-_BREAK = re.compile(r"\n(?=\S)")
-
-
 def count_tokens(text: str, enc) -> int:
-    """Tokens of a whole text. Texts beyond 200,000 characters are cut before line breaks that no token crosses."""
-    if len(text) <= _LONG:
-        return len(enc.encode_ordinary(text))
-    n, at = 0, 0
-    while at < len(text):
-        m = _BREAK.search(text, min(at + _LONG, len(text)))
-        end = m.end() if m else len(text)
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
+    """Tokens of a whole text, encoded in one piece whatever its length."""
+    return len(enc.encode_ordinary(text))
 
 
 def sized(df: DataFrame, keep: list[str], text: str = "text", folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -80,3 +80,41 @@ def test_drawn(spark):
     assert abs(share["m", "a"] - 2 / 3) < 0.01 and abs(share["m", "b"] - 1 / 3) < 0.01 and share["m", "c"] == 0 and share["n", "a"] == 1
     assert rows(drawn(sizes, targets)[0]) == rows(used)
     assert drawn(sizes.limit(0), targets)[0].count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=200))
+def test_fixed_counts(sizes):
+    s = np.array(sizes, np.int64)
+    b = pack(s, 64, top_up=False)
+    counts, kinds = np.bincount(b), {}
+    for size, at in zip(sizes, b.tolist(), strict=True):
+        kinds.setdefault(at, set()).add(64 // size)
+    assert all(len(k) == 1 for k in kinds.values()) and (np.bincount(b, weights=s) <= 64).all()
+    short = [k for at, k in kinds.items() if counts[at] != min(k)]
+    assert len(short) == len({min(k) for k in short})  # at most the last container of each class
+
+
+def test_shards_in_groups_and_documents_of_any_length(spark):
+    from codeloom.llm import mixing as M
+
+    r = random.Random(6)
+    docs = [(i, "a" if i % 4 else "b", r.choice([10, 2000])) for i in range(4000)]
+    sizes = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("m", "a", 0.3, 1), ("m", "b", 0.7, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    plan_of = M.plan_mixes
+    M.plan_mixes = lambda a, b: plan_of(a, b, shard_tokens=100_000)
+    try:
+        used, plan = drawn(sizes, targets, group=4)
+        share = {x.source: x.reached_share for x in share_report(used, plan).collect()}
+        a = used.where("source = 'a'").toPandas()
+    finally:
+        M.plan_mixes = plan_of
+    assert plan[0][6] > 20 and abs(share["a"] - 0.3) < 0.01 and a.times.max() == 1
+    assert 0.4 < (a.n_tokens == 2000).mean() < 0.6  # half of the documents are long
+
+
+def test_whole_texts_are_counted():
+    enc = encoder()
+    text = "line\n\n" * 60_000
+    assert count_tokens(text, enc) == len(enc.encode_ordinary(text))

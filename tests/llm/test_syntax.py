@@ -85,3 +85,10 @@ def test_operator(spark):
     assert rows(out.where("error_line IS NOT NULL").select("payload_id", "language")) == [(None, "json"), (2, "python"), (2, "python")]
     assert rows(error_rates(out)) == [("p", "python", 3, 2, 2 / 3), ("q", "json", 1, 1, 1.0)]
     assert checked_files(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_is_read_to_its_end():
+    deep = "[" * 5_000
+    assert first_error("json", deep + "]" * 5_000) is None
+    assert first_error("javascript", "x = " + deep + "]" * 5_000 + ";\n") is None
+    assert first_error("javascript", "x = " + deep + "]" * 4_999 + ";\n") is not None
