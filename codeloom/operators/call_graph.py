@@ -90,6 +90,19 @@ def first_chain(edges: DataFrame, roots: DataFrame, longest: int = 15) -> DataFr
     return walk.select("graph", "root", "chain")
 
 
+def graph_findings(summary: DataFrame, unknown: DataFrame, max_unknown_ratio: float | None = None) -> DataFrame:
+    """GR-07: ``graph, rule_id, severity, detail``.
+
+    CALLGRAPH001: a graph's share of unknown calls is over the budget, if there is one.
+    CALLGRAPH002: a dynamic call (``graph, raw, reason``) that someone has to look at.
+    """
+    dynamic = unknown.where(F.col("reason").isin("getattr", "importlib", "dynamic-call-result")).select("graph", F.lit("CALLGRAPH002").alias("rule_id"), F.lit("LOW").alias("severity"), F.col("raw").alias("detail"))
+    if max_unknown_ratio is None:
+        return dynamic
+    over = summary.where(F.col("unknown_ratio") > max_unknown_ratio).select("graph", F.lit("CALLGRAPH001").alias("rule_id"), F.lit("HIGH").alias("severity"), F.col("unknown_ratio").cast("string").alias("detail"))
+    return over.unionByName(dynamic)
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame, unknown: DataFrame) -> DataFrame:
     """A-17, GR-07: ``graph, n_nodes, n_edges, n_unknown, unknown_ratio`` (four digits, half to even)."""
     n = nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n_nodes"))

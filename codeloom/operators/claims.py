@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from codeloom.functions.paths import evidence_path_problem
 
 # Vocabularies of the documents.
-KINDS = {"fixes": "fixes_count", "audit_findings": "findings_count", "acceptance_report": "items_count"}
+KINDS = {"fixes": "fixed_count", "audit_findings": "finding_count", "acceptance_report": "item_count"}
 LISTS = ("fixes", "findings", "items")
-TOOL_METHODS = ("self_scan", "release_audit")
+SELF_METHODS = ("tool_self_scan", "release_audit")
+SUITES = ("adversarial_suite", "blindspot_suite", "path_portability_suite", "structured_hardening_suite", "encoded_collision_hardening_suite", "provenance_honesty_suite", "claim_evidence_contract_suite", "claim_summary_verification_suite", "evidence_artifact_safety_suite", "array_ambiguity_suite", "fuzz_suite")
+TOOL_METHODS = SELF_METHODS + SUITES + ("capability_registry", "mass_audit", "dependency_audit")
 OUTSIDE_METHODS = ("external_adversarial_audit", "human_review")
-METHODS = TOOL_METHODS + OUTSIDE_METHODS + ("adversarial_suite", "blindspot_suite", "array_ambiguity_suite", "capability_registry", "fuzz_suite", "mass_audit", "dependency_audit", "regression_fixture")
-CLASSES = ("reproduced_defect", "blind_spot", "hardening_gap", "policy_gap", "documentation_consistency")
-STATUSES = ("fixed", "verified", "open", "partial", "rejected")
+METHODS = TOOL_METHODS + OUTSIDE_METHODS + ("regression_fixture",)
+CLASSES = ("reproduced_defect", "blind_spot", "regression_fixture", "documentation_consistency", "policy_gap", "hardening_gap")
+STATUSES = ("detected", "fixed", "guarded", "verified")
+_FINDER = r"(tool|codeloom|v\d+|v?\d+\.\d+\.\d+)"
+TOOL_CLAIM = rf"(?i)\b(found|detected|reported|discovered)\s+by\s+(the\s+)?{_FINDER}\b|\b{_FINDER}\s+(found|detected|reported|discovered)\b"
 SEMVER = r"^\d+\.\d+\.\d+$"
 CANONICAL = r"^(0|[1-9]\d*)\.(0|[1-9]\d*)\.(0|[1-9]\d*)$"
 SHELL_TOKENS = r"[\n\r\x00;`<|]|&&|\|\||\$\(|\$\{| >|>>"
@@ -112,7 +116,7 @@ def provenance_findings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     has_v = _text("i", "before_version") & _text("i", "after_version")
     evidence = _is("i", "source.evidence", "ARRAY") & (F.coalesce(F.size(_get("i", "source.evidence", "array<variant>")), F.lit(0)) > 0)
     command = _text("i", "source.command")
-    tool, outside, fixture = method.isin(*TOOL_METHODS), method.isin(*OUTSIDE_METHODS), method.isin("regression_fixture")
+    tool, outside, fixture, own = method.isin(*TOOL_METHODS), method.isin(*OUTSIDE_METHODS), method.isin("regression_fixture"), method.isin(*SELF_METHODS)
     gap = cls.isin("blind_spot", "hardening_gap")
     tested = F.coalesce(_get("i", "regression_test", "boolean"), F.lit(False))
     item = {
@@ -135,8 +139,8 @@ def provenance_findings(docs: DataFrame, key: str = "doc_id", text: str = "text"
         "PROV043": ("MEDIUM", src & _text("i", "source.tool_version") & ~_get("i", "source.tool_version").rlike(SEMVER)),
         "PROV016": ("MEDIUM", src & outside & ~_text("i", "source.reviewer")),
         "PROV039": ("MEDIUM", src & fixture & ~evidence),
-        "PROV017": ("HIGH", src & (cls == "blind_spot") & tool),
-        "PROV018": ("HIGH", src & _get("i", "title").rlike(r"(?i)\b(tool|scanner|automatically) (found|detected|discovered)") & ~F.coalesce(tool, F.lit(False))),
+        "PROV017": ("HIGH", src & (cls == "blind_spot") & own),
+        "PROV018": ("HIGH", src & F.concat_ws(" ", *[_get("i", k) for k in ("title", "description", "summary")]).rlike(TOOL_CLAIM) & ~F.coalesce(own, F.lit(False))),
         "PROV019": ("MEDIUM", src & gap & ~tested),
         "PROV040": ("HIGH", src & gap & ~outside & ~fixture),
         "PROV041": ("MEDIUM", src & (status == "fixed") & ~tested & (cls != "documentation_consistency")),

@@ -50,14 +50,17 @@ def suppression_matches(issues: DataFrame, suppressions: DataFrame, key: str = "
     """``key, idx`` of the first suppression in list order that matches each issue.
 
     A match needs the same file (or none named) and the same fingerprint or a category that
-    starts with the rule id and a colon. The disjunction is two equi-joins, of which the
-    first in list order is kept. Suppressions are few; Spark broadcasts them if they are.
+    starts with the rule id and a colon; rule ids may hold colons themselves, so each prefix
+    before a colon is tried. The disjunction is two equi-joins, of which the first in list
+    order is kept. Suppressions are few; Spark broadcasts them if they are.
     """
-    i = issues.select(key, "file", "fingerprint", F.substring_index("category", ":", 1).alias("_rule"), F.contains("category", F.lit(":")).alias("_ruled"))
+    parts = F.split("category", ":")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ":"))
+    i = issues.select(key, "file", "fingerprint", F.when(F.contains("category", F.lit(":")), prefixes).alias("_rules"))
     s = suppressions.select("idx", F.col("fingerprint").alias("_fp"), F.col("rule_id").alias("_sr"), F.col("file").alias("_sf"))
     file = F.col("_sf").isNull() | (F.col("_sf") == "") | (F.col("_sf") == F.col("file"))
     one = i.join(s.where("_fp IS NOT NULL AND _fp <> ''"), (F.col("fingerprint") == F.col("_fp")) & file)
-    two = i.where("_ruled").join(s.where("_sr IS NOT NULL AND _sr <> ''"), (F.col("_rule") == F.col("_sr")) & file)
+    two = i.select(key, "file", F.explode("_rules").alias("_rule")).join(s.where("_sr IS NOT NULL AND _sr <> ''"), (F.col("_rule") == F.col("_sr")) & file)
     return one.select(key, "idx").unionByName(two.select(key, "idx")).groupBy(key).agg(F.min("idx").alias("idx"))
 
 
@@ -100,6 +103,22 @@ def severity_summary(issues: DataFrame, failed: DataFrame | None = None, skipped
     return row
 
 
+# Detectors whose HIGH findings are reviewed first.
+FIRST_DETECTORS = ("python_dataflow", "python_cross_file_dataflow", "unknown_call_validator")
+
+
+def review_queue(severity: Column, detector: Column) -> Column:
+    """T-03: P0 for CRITICAL and for HIGH of three detectors, P1 for other HIGH, P2 for the rest."""
+    first = (severity == "CRITICAL") | ((severity == "HIGH") & F.coalesce(detector.isin(*FIRST_DETECTORS), F.lit(False)))
+    return F.when(first, "P0").when(severity == "HIGH", "P1").otherwise("P2")
+
+
+def maturity(critical: Column, high: Column, medium: Column, total: Column, failed: Column, skipped: Column) -> Column:
+    """A-21: 100 - (18 C + 8 H + 3 M + 20 F + 2 S), between 0 and 100; without findings and failures only skips count."""
+    penalty = 18 * critical + 8 * high + 3 * medium + 20 * failed + 2 * skipped
+    return F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.when((total == 0) & (failed == 0), 2 * skipped).otherwise(penalty)))
+
+
 @dataclass(frozen=True)
 class Policy:
     """Most issues of each severity, and the least severity that may not be new."""

@@ -8,28 +8,42 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import explode_lines
 
 # Phrases of stock wording, and technical words.
-STOCK = ("in today's world", "it is important to note", "as an ai", "seamless", "cutting-edge", "leverage", "robust solution", "state of the art", "game changer", "best practices", "delve", "unlock the power")
-TECH = ("function", "class", "module", "query", "index", "buffer", "thread", "schema", "parser", "token", "hash", "cache", "finding", "fingerprint", "snapshot", "scan", "report")
+STOCK = (
+    r"\b(интересн(?:ый|ая|о|ые)|важн(?:ый|ая|о|ые)|замечательн(?:ый|ая|о|ые)|хорош(?:ий|ая|о|ие))\b",
+    r"\b(следует\s+(?:отметить|рассмотреть|обратить\s+внимание)|рекомендуется|стоит\s+подумать)\b",
+    r"\b(возможно,?\s+связано|вероятно,?\s+имеет|кажется,?\s+что)\b",
+    r"\b(давайте\s+посмотрим|рассмотрим\s+глубже|это\s+интересный\s+вопрос)\b",
+    r"\b(ваш\s+подход|ваше\s+решение|вы\s+абсолютно\s+правы)\b",
+)
+TECH = ("логическая ошибка", "условие", "null", "цикл", "асинхронность", "утечка", "sql", "api", "сериализация", "безопасность", "solid", "галлюцинация", "архитектура", "валидация", "eval", "xss", "инъекция")
 
 
 def stereotype(df: DataFrame, key: str, text: str) -> DataFrame:
-    """DF-22, F-09: ``key, phrase_ratio, entropy, tech_ratio, score`` of each text.
+    """DF-22, F-09: ``key, phrase_ratio, entropy_ratio, tech_ratio, score`` of each text.
 
-    The entropy is that of the sentence lengths in words; the score is logistic in the three.
-    A text without words scores by zeros. All in the JVM, without a shuffle.
+    The entropy is that of the sentence lengths in words, as a share of the greatest it could
+    be. The score is logistic in 10, 5 and -3 times the three, from 2 on; it is 0 for a text
+    without words or without a stock phrase. All in the JVM, without a shuffle.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.filter(F.split(low, r"\W+"), lambda w: w != "")
-    n = F.greatest(F.size(words), F.lit(1))
-    phrases = sum((F.regexp_count(low, F.lit(p)) for p in STOCK), F.lit(0))
-    lengths = F.transform(F.filter(F.split(low, r"[.!?]+"), lambda s: F.btrim(s) != ""), lambda s: F.size(F.filter(F.split(s, r"\W+"), lambda w: w != "")))
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)))
+    n = words(low)
+    phrases = sum((F.regexp_count(low, F.lit("(?U)" + p)) for p in STOCK), F.lit(0))
+    lengths = F.transform(F.filter(F.split(low, r"[.!?]+"), lambda s: s.rlike(r"(?U)\S")), words)
     kinds = F.array_distinct(lengths)
-    total = F.greatest(F.size(lengths), F.lit(1))
-    part = lambda k: F.size(F.filter(lengths, lambda x: x == k)) / total
+    part = lambda k: F.size(F.filter(lengths, lambda x: x == k)) / F.size(lengths)
     entropy = F.aggregate(kinds, F.lit(0.0), lambda a, k: a - part(k) * F.log2(part(k)))
-    tech = F.size(F.filter(words, lambda w: w.isin(*TECH))) / n
-    out = df.select(key, (phrases / n).alias("phrase_ratio"), entropy.alias("entropy"), tech.alias("tech_ratio"))
-    return out.withColumn("score", 1 / (1 + F.exp(-(40 * F.col("phrase_ratio") - F.col("entropy") - 4 * F.col("tech_ratio") + 0.5))))
+    most = F.when(F.size(kinds) > 1, F.log2(F.size(kinds).cast("double"))).otherwise(F.lit(1.0))
+    tech = sum((F.contains(low, F.lit(w)).cast("int") for w in TECH), F.lit(0))
+    ratio = lambda c: F.coalesce(F.try_divide(c, n), F.lit(0.0))
+    out = df.select(key, ratio(phrases).alias("phrase_ratio"), F.coalesce(entropy / most, F.lit(0.0)).alias("entropy_ratio"), ratio(tech).alias("tech_ratio"))
+    raw = F.greatest(F.lit(0.0), 10 * F.col("phrase_ratio") + 5 * F.col("entropy_ratio") - 3 * F.col("tech_ratio"))
+    return out.withColumn("score", F.when(F.col("phrase_ratio") > 0, 1 / (1 + F.exp(2 - raw))).otherwise(0.0))
+
+
+def above(scores: DataFrame, value: str, limit: float, rule_id: str, severity: str = "LOW") -> DataFrame:
+    """DF-18, 20, 21, 22: finding rows of the scores beyond a threshold, with all their columns."""
+    return scores.where(F.col(value) > limit).withColumns({"rule_id": F.lit(rule_id), "severity": F.lit(severity)})
 
 
 def fatigue(corpus: DataFrame, facts: DataFrame) -> DataFrame:

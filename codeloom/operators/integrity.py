@@ -23,17 +23,20 @@ def manifest_diff(manifest: DataFrame, tree: DataFrame, keys: list[str]) -> Data
     """J-10: ``*keys, rule_id`` of entries that are missing, of another size or digest, and of files without entry.
 
     Both sides have ``*keys, size, sha256``. Digests are compared in lower case; a null size
-    or digest isn't compared. Repeated keys on either side are compared each with each.
+    or digest isn't compared. Repeated keys on either side are compared each with each. If
+    the tree has ``is_link``, an entry that is a link there is MANIFEST006 and nothing else.
     """
+    link = F.coalesce("is_link", F.lit(False)) if "is_link" in tree.columns else F.lit(False)
     m = manifest.select(*keys, F.col("size").alias("_ms"), F.lower("sha256").alias("_mh"), F.lit(True).alias("_m"))
-    t = tree.select(*keys, F.col("size").alias("_ts"), F.lower("sha256").alias("_th"), F.lit(True).alias("_t"))
+    t = tree.select(*keys, F.col("size").alias("_ts"), F.lower("sha256").alias("_th"), link.alias("_link"), F.lit(True).alias("_t"))
     j = m.join(t, keys, "full")
     found = F.array_compact(
         F.array(
             F.when(F.col("_t").isNull(), "MANIFEST002"),
             F.when(F.col("_m").isNull(), "MANIFEST005"),
-            F.when(F.col("_ms") != F.col("_ts"), "MANIFEST003"),
-            F.when(F.col("_mh") != F.col("_th"), "MANIFEST004"),
+            F.when(F.col("_m") & F.col("_link"), "MANIFEST006"),
+            F.when(~F.col("_link") & (F.col("_ms") != F.col("_ts")), "MANIFEST003"),
+            F.when(~F.col("_link") & (F.col("_mh") != F.col("_th")), "MANIFEST004"),
         )
     )
     return j.select(*keys, F.explode(found).alias("rule_id"))
@@ -61,18 +64,37 @@ def path_collisions(df: DataFrame, keys: list[str]) -> DataFrame:
     return groups.select(*keys, F.posexplode("_all").alias("_i", "path"), "_all").where("_i > 0").select(*keys, "path", F.element_at("_all", F.col("_i")).alias("other"))
 
 
+# Suffixes of texts, of texts that end with a line end, and of those without a byte-order mark; how binary files begin.
+TEXTS = (".py", ".md", ".txt", ".json", ".toml", ".xml", ".yaml", ".yml", ".html", ".css", ".js", ".ts", ".tsx", ".jsx", ".rst", ".ini", ".cfg")
+ENDED = (".py", ".md", ".rst", ".txt", ".json", ".toml", ".xml", ".yaml", ".yml")
+UNMARKED = (".py", ".json", ".toml", ".xml", ".yaml", ".yml")
+BINARY_TEXT, BINARY_BYTES = ("\x7fELF", "PK\x03\x04", "%PDF"), (b"\x7fELF", b"PK\x03\x04", b"\x89PNG", b"\xff\xd8\xff", b"%PDF")
+
+
 def hygiene(df: DataFrame, keys: list[str]) -> DataFrame:
-    """P-13: ``*keys, rule_id`` of texts with a byte-order mark, replacement or null characters, mixed or bare line ends, no last line end, or nothing."""
-    c = F.coalesce("content", F.lit(""))
+    """P-13: ``*keys, rule_id`` of texts with bad encoding, a byte-order mark, binary content, replacement or null characters, mixed or bare line ends, no last line end, or nothing.
+
+    ``df`` has ``path`` and ``content``; with a binary column ``data`` invalid UTF-8
+    (ENCODING001) and binary beginnings are looked for in the bytes. Null contents are empty.
+    """
+    c, s = F.coalesce("content", F.lit("")), suffix(F.coalesce("path", F.lit("")))
     full = F.length(c) > 0
+    if "data" in df.columns:
+        binary = sum((F.coalesce(F.startswith("data", F.lit(x)), F.lit(False)).cast("int") for x in BINARY_BYTES), F.lit(0)) > 0
+        invalid = F.col("data").isNotNull() & F.try_validate_utf8(F.col("data").cast("string")).isNull()
+    else:
+        binary = sum((F.startswith(c, F.lit(x)).cast("int") for x in BINARY_TEXT), F.lit(0)) > 0
+        invalid = F.lit(False)
     found = F.array_compact(
         F.array(
-            F.when(F.startswith(c, F.lit("﻿")), "ENCODING003"),
+            F.when(invalid, "ENCODING001"),
+            F.when(F.contains(c, F.lit("\ufffd")), "ENCODING002"),
+            F.when(F.startswith(c, F.lit("\ufeff")) & s.isin(*UNMARKED), "ENCODING003"),
             F.when(F.contains(c, F.lit("\x00")), "CORRUPT001"),
-            F.when(F.contains(c, F.lit("�")), "CORRUPT002"),
-            F.when(F.contains(c, F.lit("\r\n")) & F.regexp_replace(c, "\r\n", "").contains("\n"), "LINES001"),
-            F.when(F.regexp_replace(c, "\r\n", "").contains("\r"), "LINES002"),
-            F.when(full & ~F.endswith(c, F.lit("\n")) & ~F.endswith(c, F.lit("\r")), "TRUNC001"),
+            F.when(binary & s.isin(*TEXTS), "CORRUPT002"),
+            F.when(F.contains(c, F.lit("\r\n")) & F.replace(c, F.lit("\r\n"), F.lit("")).contains("\n"), "LINES001"),
+            F.when(F.replace(c, F.lit("\r\n"), F.lit("")).contains("\r"), "LINES002"),
+            F.when(full & ~F.endswith(c, F.lit("\n")) & s.isin(*ENDED), "TRUNC001"),
             F.when(~full, "EMPTY001"),
         )
     )

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions.columns import strip
 from codeloom.functions.text import explode_lines, suffix
 
 SCRIPTS = (".js", ".ts", ".jsx", ".tsx")
@@ -20,7 +21,11 @@ SCRIPTS = (".js", ".ts", ".jsx", ".tsx")
 
 @dataclass(frozen=True)
 class LineRule:
-    """``pattern`` has to be found in the line and ``unless`` must not; ``skip_tests`` leaves test files out."""
+    """``pattern`` has to be found in the line and ``unless`` must not; ``skip_tests`` leaves test files out.
+
+    ``path`` and ``file_has`` have to be found in the path and the whole file, ``path_lacks``
+    and ``file_lacks`` must not; each file is asked once, not each line.
+    """
 
     id: str
     severity: str
@@ -29,6 +34,10 @@ class LineRule:
     suffixes: tuple[str, ...] = ()
     unless: str | None = None
     skip_tests: bool = False
+    path: str | None = None
+    path_lacks: str | None = None
+    file_has: str | None = None
+    file_lacks: str | None = None
 
 
 # Identifiers, severities and patterns of the line rules.
@@ -45,7 +54,14 @@ LINE_RULES = (
     LineRule("GREP001:merge_marker", "HIGH", "merge marker", r"^(<<<<<<<|=======|>>>>>>>)( |$)"),
     LineRule("GREP001:private_key", "CRITICAL", "private key", r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----"),
     LineRule("messaging.secret.token_literal", "CRITICAL", "bot token literal", r"(?i)(?:bot|messaging)_?token\s*=\s*['\"][0-9]{6,}:[A-Za-z0-9_-]{20,}", (".py",)),
-    LineRule("messaging.async.raw_create_task", "MEDIUM", "raw task", r"create_task\(", (".py",)),
+    LineRule("messaging.async.raw_create_task", "MEDIUM", "raw task", r"create_task\(", (".py",), path_lacks=r"(?i)aiogram"),
+    LineRule("messaging.webhook.lifecycle_mix", "MEDIUM", "webhook set and deleted", r"(?i)deletewebhook", (".py",), file_has=r"(?i)setwebhook"),
+    LineRule("messaging.callback_without_answer", "MEDIUM", "callback without answer", r"(?i)callback_query", (".py",), file_lacks=r"(?i)\.answer\("),
+    LineRule("autonomy_canon.second_brain.risk", "HIGH", "decision in a router", r"(?i)decision", (".py",), unless=r"decisioncore", path=r"(?i)router|strategy"),
+    LineRule("autonomy_canon.raw_effect.risk", "HIGH", "raw effect", r"\b(requests\.|subprocess\.|os\.system\(|open\()", (".py",), path_lacks=r"(?i)effect|provider"),
+    LineRule("autonomy_canon.execution_without_evidence.risk", "MEDIUM", "execution without evidence", r"(?i)execute", (".py",), file_lacks=r"(?i)verify|evidence"),
+    LineRule("fastapi.route_without_dependency_signal", "MEDIUM", "route without guard", r"@\w+\.(get|post|put|delete|patch)\(", (".py",), path=r"(?i)auth|admin", file_lacks=r"(?i)depends\("),
+    LineRule("flask.route_without_auth_signal", "MEDIUM", "route without login", r"(?i)@app\.route", (".py",), path=r"(?i)admin|auth", file_lacks=r"(?i)login_required|jwt_required"),
     LineRule("fastapi.html_response.dynamic_html", "HIGH", "dynamic response markup", r"(?i)^(?=.*htmlresponse)(?=.*(f\"|f'|request\.))", (".py",)),
     LineRule("flask.render_template_string.risk", "HIGH", "template from a string", r"(?i)render_template_string\s*\(", (".py",)),
     LineRule("flask.open_redirect.risk", "HIGH", "redirect to a request value", r"(?i)redirect\s*\(.*request\.", (".py",)),
@@ -56,28 +72,33 @@ LINE_RULES = (
     LineRule("sqlalchemy.raw_sql_string", "HIGH", "query string", r"session\.execute\(\s*f?['\"]", (".py",)),
     LineRule("django.csrf_exempt", "HIGH", "request check switched off", r"(?i)csrf_exempt", (".py",)),
     LineRule("TYPE031", "MEDIUM", "type check muted without reason", r"#\s*type:\s*ignore(\[[^\]]*\])?\s*$", (".py",)),
-    LineRule("JSSTR001", "HIGH", "message to any target", r"\.postMessage\s*\([^\n,]+,\s*['\"]\*['\"]", SCRIPTS),
-    LineRule("JSSTR004", "HIGH", "timer runs a string", r"\b(?:setTimeout|setInterval)\s*\(\s*['\"]", SCRIPTS),
-    LineRule("JSSTR006", "HIGH", "origin relaxed", r"\bdocument\.domain\s*=", SCRIPTS),
 )
 
 
 @dataclass(frozen=True)
 class FileRule:
-    """A rule over a whole file: ``has`` is found (if given) and ``lacks`` is not (if given)."""
+    """A rule over a whole file: ``has`` and ``also`` are found (if given) and ``lacks`` is not (if given); ``either``: one of ``has`` and ``lacks`` is enough.
+
+    Patterns are looked for anywhere and have no repeated groups, so texts of any length are safe.
+    """
 
     id: str
     severity: str
     path: str
     has: str | None = None
     lacks: str | None = None
+    also: str | None = None
+    either: bool = False
+    path_lacks: str | None = None
 
 
+# Fixed value: where migrations lie.
+MIGRATION_PATH = r"(?i)(^|/)(migrations|migration|alembic|versions)/(.*/)?[^/]+\.(py|sql)$|(^|/)[0-9]{4,}[^/]*\.(py|sql)$|_migration\.py$|\.sql$"
 # Rules over whole files.
 FILE_RULES = (
     FileRule("DEPLOY010", "MEDIUM", r"(?i)(^|/)dockerfile[^/]*$", lacks=r"(?i)HEALTHCHECK"),
     FileRule("DEPLOY011", "HIGH", r"(?i)(^|/)dockerfile[^/]*$", has=r"(?i)(COPY|ADD)\s+\.env\b"),
-    FileRule("DEPLOY012", "MEDIUM", r"(?i)(^|/)dockerfile[^/]*$", lacks=r"(?im)^\s*USER\s+(?!root\b)"),
+    FileRule("DEPLOY012", "MEDIUM", r"(?i)(^|/)dockerfile[^/]*$", has=r"(?i)USER\s+root\b", lacks=r"(?im)^\s*USER\s+", either=True),
     FileRule("DEPLOY020", "HIGH", r"(?i)(^|/)(docker-)?compose[^/]*\.ya?ml$", has=r"(?i)POSTGRES_PASSWORD\s*[:=]\s*['\"]?(password|postgres|changeme)"),
     FileRule("DEPLOY021", "MEDIUM", r"(?i)(^|/)(docker-)?compose[^/]*\.ya?ml$", lacks=r"restart:"),
     FileRule("DEPLOY030", "MEDIUM", r"(^|/)(\.github/workflows|ci)/[^/]+\.ya?ml$", lacks=r"pytest"),
@@ -86,13 +107,15 @@ FILE_RULES = (
     FileRule("DEPLOY041", "MEDIUM", r"\.service$", lacks=r"WorkingDirectory="),
     FileRule("DEPLOY042", "HIGH", r"\.service$", has=r"Environment=.*(TOKEN|SECRET)="),
     FileRule("DEPLOY050", "MEDIUM", r"(?i)nginx[^/]*\.conf$", has=r"proxy_pass", lacks=r"proxy_set_header"),
-    FileRule("MIG020", "HIGH", r"(^|/)(migrations|versions|alembic)/[^/]+\.(py|sql)$", has=r"(?i)DROP\s+TABLE|DROP\s+COLUMN|TRUNCATE\s+TABLE|DELETE\s+FROM"),
-    FileRule("MIG030", "HIGH", r"(^|/)(migrations|versions|alembic)/[^/]+\.(py|sql)$", has=r"(?is)sqlite.*postgres|postgres.*sqlite"),
-    FileRule("MIG040", "MEDIUM", r"(^|/)(migrations|versions|alembic)/[^/]+\.py$", has=r"down_revision", lacks=r"def downgrade"),
-    FileRule("OWN010", "MEDIUM", r"\.py$", has=r"(?i)owner\s*[:=].*\n(?:.*\n)*?.*not\s+(?:the\s+)?owner"),
+    FileRule("MIG020", "HIGH", MIGRATION_PATH, has=r"(?i)DROP\s+TABLE|DROP\s+COLUMN|TRUNCATE\s+TABLE|DELETE\s+FROM"),
+    FileRule("MIG030", "HIGH", MIGRATION_PATH, has=r"(?i)sqlite", also=r"(?i)postgres"),
+    FileRule("MIG040", "MEDIUM", MIGRATION_PATH, has=r"down_revision", lacks=r"def downgrade"),
+    FileRule("OWN010", "MEDIUM", r"\.(py|md|txt|yml|yaml|json|toml)$", has=r"(?im)(do\s+not\s+use|bypass|ignore|disable)\s+(owner|approval|review|governance|guard)"),
+    FileRule("messaging.webhook.secret_optional", "HIGH", r"\.py$", has=r"(?i)messaging_webhook_secret_token\s*="),
+    FileRule("messaging.transport.polling_webhook_conflict", "HIGH", r"\.py$", has=r"(?i)start_polling", also=r"(?i)webhook"),
+    FileRule("autonomy_canon.prod_sqlite_fallback", "HIGH", r"\.py$", has=r"(?i)sqlite", also=r"(?i)prod"),
     FileRule("messaging.callback_query.missing_answer_signal", "MEDIUM", r"\.py$", has=r"(?i)callback_query", lacks=r"(?i)callback_query\.answer\(|answer_callback_query"),
-    FileRule("autonomy_canon.execution_without_evidence.risk", "MEDIUM", r"\.py$", has=r"(?i)execute", lacks=r"(?i)verify|evidence"),
-    FileRule("autonomy_canon.admin_surface.missing_signal", "LOW", r"\.py$", has=r"(?i)capability|feature", lacks=r"(?i)admin"),
+    FileRule("autonomy_canon.admin_surface.missing_signal", "LOW", r"\.py$", has=r"(?i)capability|feature", lacks=r"(?i)admin", path_lacks=r"(?i)control"),
 )
 
 
@@ -104,6 +127,15 @@ def _language(rule: LineRule, suffix_: Column) -> Column:
     return suffix_.isin(*rule.suffixes) if rule.suffixes else F.lit(True)
 
 
+def _file_test(rule: LineRule, path: Column) -> Column:
+    """What a line rule asks of the path and the whole file."""
+    c = _language(rule, suffix(path))
+    for text, has, lacks in ((path, rule.path, rule.path_lacks), (F.col("content"), rule.file_has, rule.file_lacks)):
+        c = c & text.rlike(has) if has else c
+        c = c & ~text.rlike(lacks) if lacks else c
+    return c
+
+
 def line_findings(corpus: DataFrame, rules: tuple[LineRule, ...] = LINE_RULES, key: tuple[str, ...] = ("payload_id", "project_root", "path")) -> DataFrame:
     """``*key, line_number, rule_id, severity, line`` of every match; one pass over the lines, no shuffle.
 
@@ -111,17 +143,20 @@ def line_findings(corpus: DataFrame, rules: tuple[LineRule, ...] = LINE_RULES, k
     text; null and empty contents give no rows.
     """
     path = F.coalesce("path", F.lit(""))
-    rows = explode_lines(corpus.select(*key, "content", suffix(path).alias("_suffix"), is_test_path(path).alias("_test")))
+    asked = [i for i, r in enumerate(rules) if r.path or r.path_lacks or r.file_has or r.file_lacks]
+    rows = explode_lines(corpus.select(*key, "content", suffix(path).alias("_suffix"), is_test_path(path).alias("_test"), *[_file_test(rules[i], path).alias(f"_file{i}") for i in asked]))
     hits = []
-    for r in rules:
+    for i, r in enumerate(rules):
         c = F.col("line").rlike(r.pattern)
+        if i in asked:
+            c = F.col(f"_file{i}") & c
         if r.unless:
             c = c & ~F.col("line").rlike(r.unless)
         if r.skip_tests:
             c = c & ~F.col("_test")
         hits.append(F.when(_language(r, F.col("_suffix")) & c, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))))
     # An empty array gives no row, so no filter has to evaluate the patterns a second time.
-    return rows.select(*key, "line_number", F.inline(F.array_compact(F.array(*hits))), F.substring("line", 1, 240).alias("line"))
+    return rows.select(*key, "line_number", F.inline(F.array_compact(F.array(*hits))), strip(F.col("line")).alias("line"))
 
 
 def file_findings(corpus: DataFrame, rules: tuple[FileRule, ...] = FILE_RULES, key: tuple[str, ...] = ("payload_id", "project_root", "path")) -> DataFrame:
@@ -130,10 +165,15 @@ def file_findings(corpus: DataFrame, rules: tuple[FileRule, ...] = FILE_RULES, k
     hits = []
     for r in rules:
         c = path.rlike(r.path)
-        if r.has:
-            c = c & text.rlike(r.has)
-        if r.lacks:
-            c = c & ~text.rlike(r.lacks)
+        if r.path_lacks:
+            c = c & ~path.rlike(r.path_lacks)
+        if r.either:
+            c = c & (text.rlike(r.has) | ~text.rlike(r.lacks))
+        else:
+            for wanted in filter(None, (r.has, r.also)):
+                c = c & text.rlike(wanted)
+            if r.lacks:
+                c = c & ~text.rlike(r.lacks)
         hits.append(F.when(c, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))))
     return corpus.select(*key, F.inline(F.array_compact(F.array(*hits))))
 
@@ -208,16 +248,37 @@ class GrepPattern:
     ignore_case: bool = False
 
 
+def broken_patterns(spark: SparkSession, patterns: list[GrepPattern]) -> tuple[list[GrepPattern], DataFrame]:
+    """(patterns that can be used, rows ``pattern_id, rule_id, severity`` of GREP000 for the others)."""
+    good, bad = [], []
+    compile_ = spark._jvm.java.util.regex.Pattern.compile
+    for p in patterns:
+        try:
+            compile_(p.regex)
+            good.append(p)
+        except Exception:  # the JVM refuses the expression
+            bad.append((p.id, "GREP000", "HIGH"))
+    return good, spark.createDataFrame(bad, "pattern_id string, rule_id string, severity string")
+
+
+def over_budget(found: DataFrame, max_matches: int) -> DataFrame:
+    """GREP010: one row ``rule_id, severity, n`` if a search has ``max_matches`` or more matches. ``found`` is the search without a budget."""
+    return found.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_matches).select(F.lit("GREP010").alias("rule_id"), F.lit("HIGH").alias("severity"), "n")
+
+
 def grep(corpus: DataFrame, patterns: list[GrepPattern], max_matches: int | None = None, key: tuple[str, ...] = ("payload_id", "path")) -> DataFrame:
     """P-01, T-01: user patterns over lines, in the order path, pattern, line, up to ``max_matches`` rows.
 
     The budget is a feature of the search: the first ``max_matches`` rows by that order, as a
-    top-k; without it every match is returned. A pattern that isn't a valid Java expression
-    fails the query. An empty list gives no rows.
+    top-k; without it every match is returned. Patterns that aren't valid Java expressions
+    are left out; ``broken_patterns`` reports them. An empty list gives no rows.
     """
+    usable = broken_patterns(corpus.sparkSession, patterns)[0]
     rows = explode_lines(corpus.select(*key, "content"))
     hits = []
     for i, p in enumerate(patterns):
+        if p not in usable:
+            continue
         c = F.col("line").rlike(("(?i)" if p.ignore_case else "") + p.regex)
         if p.include:
             c = c & F.col("path").rlike("|".join(map(glob_regex, p.include)))

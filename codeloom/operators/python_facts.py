@@ -108,7 +108,7 @@ class _Visitor(ast.NodeVisitor):
 
     def visit_Call(self, node: ast.Call) -> None:
         flags = [f for f, on in (("async", self.in_async), ("try", self.in_try), ("bare", node is self.bare)) if on]
-        keywords = {k.arg or "**": ast.unparse(k.value)[:200] for k in node.keywords}
+        keywords = {k.arg or "**": ast.unparse(k.value) for k in node.keywords}
         second = node.args[1] if len(node.args) > 1 else None
         if isinstance(second, ast.Constant) and isinstance(second.value, str):
             keywords["<2>"] = second.value
@@ -323,7 +323,6 @@ def fact_rules() -> list[FactRule]:
         FactRule("Docstring contradiction", "MEDIUM", "function", _flag("doc:int") & _flag("returns_none")),
         FactRule("Condition contradiction", "HIGH", "contradiction", F.lit(True)),
         FactRule("Type contradiction", "HIGH", "assign", _kw("annotation").isin("int", "str", "float", "bool", "bytes") & (_kw("type") != "") & (_kw("type") != "NoneType") & (_kw("type") != _kw("annotation")) & ~((_kw("annotation") == "float") & (_kw("type") == "int"))),
-        FactRule("PYTEST021", "MEDIUM", "function", F.col("path").rlike(r"(^|/)(test_[^/]*|[^/]*_test)\.py$") & raw.startswith("test_") & ~_flag("assert")),
         FactRule("MUTATION:constant-if", "LOW", "if", _flag("constant")),
     ]
 

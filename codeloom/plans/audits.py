@@ -11,26 +11,30 @@ from codeloom.operators import suites as S
 from codeloom.operators.nested_flatten import child_records
 from codeloom.operators.python_facts import python_facts
 from codeloom.plans.nested import GRAPH
-from codeloom.session import table
+from codeloom.session import kept, table
 
 
 def _facts(spark, sf_dir):
     return python_facts(table(spark, sf_dir, "file_payloads").select("payload_id", "project_root", "path", "content"))
 
 
+def _kept(spark, sf_dir):
+    return kept(_facts(spark, sf_dir))
+
+
 def public_reference(spark, sf_dir):
     """A-26, J-13, DF-25."""
-    return T.reference_ratio(_facts(spark, sf_dir))
+    return T.reference_ratio(_kept(spark, sf_dir))
 
 
 def pytest_findings(spark, sf_dir):
     """P-19, J-14."""
-    return T.pytest_findings(_facts(spark, sf_dir))
+    return T.pytest_findings(_kept(spark, sf_dir))
 
 
 def test_completeness(spark, sf_dir):
     """DF-25."""
-    return T.completeness_findings(_facts(spark, sf_dir))
+    return T.completeness_findings(_kept(spark, sf_dir))
 
 
 def untyped_public(spark, sf_dir):
@@ -45,7 +49,7 @@ def mutation_candidates(spark, sf_dir):
 
 def annoyance_index(spark, sf_dir):
     """DF-21."""
-    return T.annoyance(_facts(spark, sf_dir))
+    return T.annoyance(_kept(spark, sf_dir))
 
 
 def call_graph_summary(spark, sf_dir):

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from codeloom.operators import claims as C
 from codeloom.session import table
 
-_ITEM = {"id": "F1", "title": "late close", "classification": "reproduced_defect", "status": "fixed", "before_version": "1.0.0", "after_version": "1.0.1", "regression_test": True, "test_path": "tests/test_x.py", "evidence_type": "command_output", "reproduction": {"command": "a", "observed_before": "b", "verified_after": "c"}, "source": {"method": "self_scan", "command": "scan", "tool_version": "1.0.0", "evidence": ["out/a.txt"]}}
-_GOOD = {"artifact_kind": "fixes", "schema_version": "1.0", "fixes_count": 1, "audit_provenance": {"claim_boundary": "tool and external", "automated_tool_found_all": False}, "claim_summary": {"by_source": {"self_scan": 1}, "total_count": 1}, "verification_commands": [{"command": "pytest -q", "status": "passed", "exit_code": 0, "artifact": "out/log.txt"}], "fixes": [_ITEM]}
+_ITEM = {"id": "F1", "title": "late close", "classification": "reproduced_defect", "status": "fixed", "before_version": "1.0.0", "after_version": "1.0.1", "regression_test": True, "test_path": "tests/test_x.py", "evidence_type": "command_output", "reproduction": {"command": "a", "observed_before": "b", "verified_after": "c"}, "source": {"method": "tool_self_scan", "command": "scan", "tool_version": "1.0.0", "evidence": ["out/a.txt"]}}
+_GOOD = {"artifact_kind": "fixes", "schema_version": "1.0", "fixed_count": 1, "audit_provenance": {"claim_boundary": "tool and external", "automated_tool_found_all": False}, "claim_summary": {"by_source": {"tool_self_scan": 1}, "total_count": 1}, "verification_commands": [{"command": "pytest -q", "status": "passed", "exit_code": 0, "artifact": "out/log.txt"}], "fixes": [_ITEM]}
 TEMPLATES = (
     json.dumps(_GOOD),
-    json.dumps(_GOOD | {"fixes_count": 2, "claim_summary": {"by_source": {"self_scan": 2}, "total_count": 1}}),
+    json.dumps(_GOOD | {"fixed_count": 2, "claim_summary": {"by_source": {"tool_self_scan": 2}, "total_count": 1}}),
     json.dumps(_GOOD | {"fixes": [_ITEM | {"after_version": "1.0.0"}], "verification_commands": [{"command": "a && b", "status": "passed", "exit_code": 3, "artifact": "../x"}]}),
     "[]",
 )

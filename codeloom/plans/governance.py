@@ -99,9 +99,9 @@ def new_vs_baseline(spark, sf_dir):
 def review_queues(spark, sf_dir):
     """T-03, A-20: the first 25 of queue P0 and 50 of P1 and P2 for each report.
 
-    CRITICAL is P0, HIGH is P1, the rest P2; order: severity, file, row.
+    Order: severity, file, row.
     """
-    q = F.when(F.col("severity") == "CRITICAL", "P0").when(F.col("severity") == "HIGH", "P1").otherwise("P2")
+    q = G.review_queue(F.col("severity"), F.col("detector"))
     w = Window.partitionBy("project_root", "snapshot_no", "queue").orderBy(F.desc("rank"), "file", "row_id")
     rows = _norm(spark, sf_dir).withColumn("queue", q).withColumn("rank", G.severity_order(F.col("severity")))
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.when(F.col("queue") == "P0", 25).otherwise(50)).select("project_root", "snapshot_no", "queue", "place", "row_id")
@@ -113,10 +113,9 @@ def review_plan_files(spark, sf_dir):
 
 
 def maturity_score(spark, sf_dir):
-    """A-21 for each report: 100 - (18 C + 8 H + 3 M), between 0 and 100."""
+    """A-21 for each report; the table has no failed or skipped files."""
     c = lambda s: F.count_if(F.col("severity") == s)
-    raw = F.lit(100) - (18 * c("CRITICAL") + 8 * c("HIGH") + 3 * c("MEDIUM"))
-    return _norm(spark, sf_dir).groupBy("project_root", "snapshot_no").agg(F.greatest(F.least(raw, F.lit(100)), F.lit(0)).alias("score"))
+    return _norm(spark, sf_dir).groupBy("project_root", "snapshot_no").agg(G.maturity(c("CRITICAL"), c("HIGH"), c("MEDIUM"), F.count(F.lit(1)), F.lit(0), F.lit(0)).alias("score"))
 
 
 def scorecard(spark, sf_dir):
@@ -134,11 +133,10 @@ def gate_matrix(spark, sf_dir):
 
 def coverage_matrix(spark, sf_dir):
     """A-18: counts by detector, severity and confidence in one pass of grouping sets."""
-    _norm(spark, sf_dir).createOrReplaceTempView("_codeloom_norm")
-    return spark.sql(
-        "SELECT CASE WHEN grouping(detector) = 0 THEN 'detector' WHEN grouping(severity) = 0 THEN 'severity' ELSE 'confidence' END AS dimension,"
-        " coalesce(detector, severity, confidence) AS value, count(*) AS n FROM _codeloom_norm GROUP BY GROUPING SETS ((detector), (severity), (confidence))"
-    )
+    kinds = ("detector", "severity", "confidence")
+    dimension = F.when(F.grouping("detector") == 0, "detector").when(F.grouping("severity") == 0, "severity").otherwise("confidence")
+    sets = _norm(spark, sf_dir).groupingSets([[F.col(k)] for k in kinds], *map(F.col, kinds))
+    return sets.agg(dimension.alias("dimension"), F.coalesce(*kinds).alias("value"), F.count(F.lit(1)).alias("n")).select("dimension", "value", "n")
 
 
 def trend_dashboard(spark, sf_dir):
@@ -184,7 +182,7 @@ ORACLE = {
     "unused_suppressions": _N.rstrip()[:-1] + "), " + _S + " SELECT idx, rule_id FROM sup WHERE idx NOT IN (SELECT idx FROM m)",
     "suppression_errors": "SELECT * FROM (VALUES (1,'expired'),(2,'owner'),(2,'expires invalid')) t(idx, error)",
     "new_vs_baseline": _N + "SELECT n.row_id, n.fingerprint FROM norm n JOIN (SELECT project_root, max(snapshot_no) AS l FROM norm GROUP BY 1) e ON n.project_root = e.project_root AND n.snapshot_no = e.l WHERE rank >= 3 AND NOT EXISTS (SELECT 1 FROM norm b WHERE b.project_root = n.project_root AND b.fingerprint = n.fingerprint AND b.snapshot_no = (SELECT min(snapshot_no) FROM norm x WHERE x.project_root = n.project_root))",
-    "review_queues": _N + "SELECT project_root, snapshot_no, queue, place::INT AS place, row_id FROM (SELECT *, row_number() OVER (PARTITION BY project_root, snapshot_no, queue ORDER BY rank DESC, file, row_id) AS place FROM (SELECT *, CASE rank WHEN 4 THEN 'P0' WHEN 3 THEN 'P1' ELSE 'P2' END AS queue FROM norm)) WHERE place <= CASE queue WHEN 'P0' THEN 25 ELSE 50 END",
+    "review_queues": _N + "SELECT project_root, snapshot_no, queue, place::INT AS place, row_id FROM (SELECT *, row_number() OVER (PARTITION BY project_root, snapshot_no, queue ORDER BY rank DESC, file, row_id) AS place FROM (SELECT *, CASE WHEN rank = 4 OR rank = 3 AND detector IN ('python_dataflow', 'python_cross_file_dataflow', 'unknown_call_validator') THEN 'P0' WHEN rank = 3 THEN 'P1' ELSE 'P2' END AS queue FROM norm)) WHERE place <= CASE queue WHEN 'P0' THEN 25 ELSE 50 END",
     "review_plan_files": "SELECT file, count(*) AS n FROM issue_snapshots GROUP BY 1 ORDER BY n DESC, file LIMIT 20",
     "maturity_score": _N + "SELECT project_root, snapshot_no, greatest(least(100 - (18 * count(*) FILTER (rank = 4) + 8 * count(*) FILTER (rank = 3) + 3 * count(*) FILTER (rank = 2)), 100), 0) AS score FROM norm GROUP BY 1, 2",
     "scorecard": _N + "SELECT project_root, greatest(100 - sum(CASE WHEN severity IN ('CRITICAL','HIGH') THEN 10 ELSE 3 END), 0)::BIGINT AS score FROM (SELECT DISTINCT project_root, detector, split_part(trim(category), ':', 1), severity FROM norm) GROUP BY 1",

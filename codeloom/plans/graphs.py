@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import call_graph as C
 from codeloom.operators import drift as D
 from codeloom.operators.python_facts import python_facts
+from codeloom.plans.python_code import kept_facts
 from codeloom.session import table
 
 
@@ -17,7 +18,7 @@ def _facts(spark, sf_dir):
 
 def code_call_edges(spark, sf_dir):
     """GR-01, GR-02, J-22 over the scanned files."""
-    return C.edges_of(_facts(spark, sf_dir)).groupBy("project_root", "kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return C.edges_of(kept_facts(spark, sf_dir)).groupBy("project_root", "kind", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def code_graph_nodes(spark, sf_dir):
@@ -29,6 +30,14 @@ def code_unknown_calls(spark, sf_dir):
     return C.unknown_calls(_facts(spark, sf_dir)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def code_graph_findings(spark, sf_dir):
+    """GR-07: CALLGRAPH001 for projects with more than a quarter of unknown calls, CALLGRAPH002."""
+    f = kept_facts(spark, sf_dir)
+    project = F.col("project_root").alias("graph")
+    unknown = C.unknown_calls(f).select(project, "raw", "reason")
+    return C.graph_findings(C.graph_summary(C.nodes_of(f).select(project), C.edges_of(f).select(project), unknown), unknown, 0.25).groupBy("graph", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def nation_edges(spark, sf_dir):
     """A small directed graph: in each region, every nation leads to the next two by key."""
     n = table(spark, sf_dir, "nation")
@@ -147,4 +156,4 @@ ORACLE = {
     "duplicate_registry_keys": "SELECT o_orderkey, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth > 1",
     "wildcard_shadowing": "SELECT s.p_partkey, min(w.p_partkey) AS w FROM part s JOIN part w ON w.p_brand = s.p_brand AND w.p_size = 1 AND w.p_partkey < s.p_partkey WHERE s.p_size > 1 GROUP BY 1",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE, "code_call_edges", "code_graph_nodes", "code_unknown_calls"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE, "code_call_edges", "code_graph_findings", "code_graph_nodes", "code_unknown_calls"]}

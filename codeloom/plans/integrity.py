@@ -85,6 +85,21 @@ def db_markers(spark, sf_dir):
     return S.db_markers(_files(spark, sf_dir)).groupBy("backend", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def db_findings(spark, sf_dir):
+    """DF-24: DB001 to DB004."""
+    return S.db_findings(S.db_markers(_files(spark, sf_dir)))
+
+
+def migration_findings(spark, sf_dir):
+    """J-11: MIG001, MIG010."""
+    return S.migration_findings(_files(spark, sf_dir))
+
+
+def supply_files(spark, sf_dir):
+    """P-09 over the dependency files."""
+    return S.supply_files(_files(spark, sf_dir))
+
+
 def mixed_backends(spark, sf_dir):
     """A-15."""
     return S.mixed_backends(S.db_markers(_files(spark, sf_dir)))
@@ -126,20 +141,28 @@ _SIDES = f"""m AS (SELECT project_root, path, arg_max({{'size': size, 'sha': low
 t AS (SELECT project_root, path, arg_max({{'size': size, 'sha': sha}}, (scanned_at, payload_id)) AS s FROM (SELECT project_root, {_rel('path')} AS path, octet_length(encode(content)) AS size, sha256(content) AS sha, scanned_at, payload_id FROM file_payloads) GROUP BY 1, 2)"""
 _L = "unnest(string_split_regex(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'))"
 _HITS = " UNION ALL ".join(f"SELECT *, '{b}' AS backend FROM l WHERE regexp_matches(line, '{rx}')" for b, rx in S.BACKENDS.items())
-_ENVD = f"SELECT DISTINCT project_root, regexp_extract(line, '^\\s*(?:export\\s+)?([A-Z][A-Z0-9_]{{2,}})\\s*=\\s*(.*)$', 1) AS name FROM (SELECT project_root, {_L} AS line FROM file_payloads WHERE regexp_matches(regexp_extract(path, '([^/\\\\]+)$', 1), '^\\.env')) WHERE regexp_matches(line, '^\\s*(?:export\\s+)?[A-Z][A-Z0-9_]{{2,}}\\s*=')"
+_PROD = "(?i)prod|production|release|deploy|docker|compose|systemd|gunicorn|uvicorn"
+_ENVNAME = "regexp_replace(trim(regexp_extract(line, '^(export )?([^=]*)=', 2)), '^[\"'']+|[\"'']+$', '', 'g')"
+_DBL = f"""SELECT *, CASE WHEN env IS NOT NULL THEN 'database_env_contract' WHEN regexp_matches(line, 'create_engine|DATABASE|DB_|SQLALCHEMY') THEN 'database_runtime_code' ELSE 'free_text' END AS source,
+ name IN ('.env', '.env.example', '.env.sample', 'env.example', 'env.sample') OR NOT (regexp_matches(low, 'test|fixture|sample|example|migration|alembic|docs?/|readme|changelog') AND NOT regexp_matches(low, 'prod|deploy|config|settings'))
+   AND (name IN ('settings.py', 'config.py', 'database.py', 'db.py', 'alembic.ini', 'pyproject.toml', 'docker-compose.yml', 'docker-compose.yaml') OR regexp_matches(low, 'settings|config|database|db|\\.env|docker|compose|systemd|deploy|runtime|wiring')) AS runs
+ FROM (SELECT *, regexp_extract(low, '([^/]+)$', 1) AS name, CASE WHEN regexp_matches({_ENVNAME}, '(?i)^(DATABASE_URL|DB_URL|DB_URI|DB_DSN|DB_ENGINE|DB_BACKEND|DB_DRIVER|SQLALCHEMY_DATABASE_URI|POSTGRES(QL)?_DSN|POSTGRES(QL)?_URL|SQLITE(_URL|_PATH|_DB)?|DATABASE_ENGINE)$') THEN {_ENVNAME} END AS env
+  FROM (SELECT project_root, path, lower(replace(path, '\\', '/')) AS low, i::INT AS line_number, trim(parts[i], E' \\t\\r\\n\\x0b\\x0c') AS line FROM (SELECT project_root, path, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT *, string_split_regex(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS parts FROM file_payloads))) WHERE line <> '' AND NOT starts_with(line, '#'))"""
+_ENVD = f"SELECT DISTINCT project_root, regexp_extract(line, '^\\s*(?:export\\s+)?([A-Z][A-Z0-9_]{{2,}})\\s*=\\s*(.*)$', 1) AS name, regexp_replace(trim(regexp_extract(line, '^\\s*(?:export\\s+)?([A-Z][A-Z0-9_]{{2,}})\\s*=\\s*(.*)$', 2)), '^[\"'']+|[\"'']+$', '', 'g') AS value FROM (SELECT project_root, {_L} AS line FROM file_payloads WHERE regexp_extract(path, '([^/\\\\]+)$', 1) IN ('.env.example', '.env.sample', 'env.example', 'env.sample')) WHERE regexp_matches(line, '^\\s*(?:export\\s+)?[A-Z][A-Z0-9_]{{2,}}\\s*=')"
 _USED = "SELECT DISTINCT project_root, unnest(regexp_extract_all(content, '" + S.ENV_USE.replace("'", "''") + "', 1)) AS name FROM file_payloads"
 ORACLE = {
     "manifest_diff": f"WITH {_SIDES}, j AS (SELECT coalesce(m.project_root, t.project_root) AS project_root, coalesce(m.path, t.path) AS path, m.project_root IS NOT NULL AS hm, t.project_root IS NOT NULL AS ht, m.s AS ms, t.s AS ts FROM m FULL JOIN t ON m.project_root = t.project_root AND m.path = t.path) SELECT project_root, path, 'MANIFEST002' AS rule_id FROM j WHERE NOT ht UNION ALL SELECT project_root, path, 'MANIFEST005' FROM j WHERE NOT hm UNION ALL SELECT project_root, path, 'MANIFEST003' FROM j WHERE ms.size <> ts.size UNION ALL SELECT project_root, path, 'MANIFEST004' FROM j WHERE ms.sha <> ts.sha",
     "manifest_text": f"WITH {_SIDES} SELECT NULL::VARCHAR AS error, count(*) AS n FROM t WHERE s.size IS NOT NULL",
-    "text_hygiene": "SELECT payload_id, rule_id FROM (SELECT payload_id, unnest([CASE WHEN starts_with(c, chr(65279)) THEN 'ENCODING003' END, CASE WHEN contains(c, chr(65533)) THEN 'CORRUPT002' END, CASE WHEN contains(c, chr(13) || chr(10)) AND contains(replace(c, chr(13) || chr(10), ''), chr(10)) THEN 'LINES001' END, CASE WHEN contains(replace(c, chr(13) || chr(10), ''), chr(13)) THEN 'LINES002' END, CASE WHEN c <> '' AND NOT ends_with(c, chr(10)) AND NOT ends_with(c, chr(13)) THEN 'TRUNC001' END, CASE WHEN c = '' THEN 'EMPTY001' END]) AS rule_id FROM (SELECT payload_id, coalesce(content, '') AS c FROM file_payloads)) WHERE rule_id IS NOT NULL",
+    "text_hygiene": "SELECT payload_id, rule_id FROM (SELECT payload_id, unnest([CASE WHEN starts_with(c, chr(65279)) AND s IN ('.py','.json','.toml','.xml','.yaml','.yml') THEN 'ENCODING003' END, CASE WHEN contains(c, chr(65533)) THEN 'ENCODING002' END, CASE WHEN (starts_with(c, chr(127) || 'ELF') OR starts_with(c, 'PK' || chr(3) || chr(4)) OR starts_with(c, '%PDF')) AND s IN ('.py','.md','.txt','.json','.toml','.xml','.yaml','.yml','.html','.css','.js','.ts','.tsx','.jsx','.rst','.ini','.cfg') THEN 'CORRUPT002' END, CASE WHEN contains(c, chr(13) || chr(10)) AND contains(replace(c, chr(13) || chr(10), ''), chr(10)) THEN 'LINES001' END, CASE WHEN contains(replace(c, chr(13) || chr(10), ''), chr(13)) THEN 'LINES002' END, CASE WHEN c <> '' AND NOT ends_with(c, chr(10)) AND s IN ('.py','.md','.rst','.txt','.json','.toml','.xml','.yaml','.yml') THEN 'TRUNC001' END, CASE WHEN c = '' THEN 'EMPTY001' END]) AS rule_id FROM (SELECT payload_id, coalesce(content, '') AS c, lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) AS s FROM file_payloads)) WHERE rule_id IS NOT NULL",
     "evidence_paths": "SELECT problem, count(*) AS n FROM (SELECT CASE WHEN ref IS NULL OR trim(ref) = '' THEN 'not a text' WHEN trim(ref) <> ref THEN 'blank at the ends' WHEN regexp_matches(ref, '[\\x00-\\x1f\\x7f]') THEN 'control character' WHEN regexp_matches(ref, '(?i)^(https?|ftp|file|s3|gs):|^//') THEN 'remote' WHEN starts_with(ref, '~') THEN 'home' WHEN regexp_matches(ref, '^[A-Za-z]:[\\\\/]') THEN 'drive' WHEN regexp_matches(ref, '^[/\\\\]') THEN 'absolute' WHEN contains(ref, '\\') THEN 'backslash' WHEN regexp_matches(ref, '(^|/)\\.\\.(/|$)') THEN 'traversal' WHEN regexp_matches(ref, '(^|/)\\s|\\s(/|$)') THEN 'blank in a part' END AS problem FROM (SELECT file AS ref FROM issue_snapshots UNION ALL SELECT path FROM file_payloads)) GROUP BY 1",
     "env_used": _USED,
-    "env_contract": f"WITH u AS ({_USED}), d AS ({_ENVD}) SELECT coalesce(u.project_root, d.project_root) AS project_root, coalesce(u.name, d.name) AS name, CASE WHEN d.name IS NULL THEN 'CFG003' ELSE 'CFG002' END AS rule_id FROM u FULL JOIN d ON u.project_root = d.project_root AND u.name = d.name WHERE (u.name IS NULL OR d.name IS NULL) AND coalesce(u.project_root, d.project_root) IN (SELECT project_root FROM d)",
-    "db_markers": f"WITH l AS (SELECT project_root, path, {_L} AS line FROM file_payloads) SELECT backend, CASE WHEN regexp_matches(line, '^\\s*(import|from|require|#include)\\b') THEN 'import' WHEN contains(line, '://') THEN 'dsn' WHEN regexp_matches(line, '^\\s*(export\\s+)?[A-Z_0-9]+\\s*=') THEN 'env' ELSE 'text' END AS source, count(*) AS n FROM ({_HITS}) GROUP BY 1, 2",
-    "mixed_backends": f"WITH l AS (SELECT project_root, path, {_L} AS line FROM file_payloads) SELECT project_root, path, array_to_string(list_sort(list_distinct(list(backend))), ',') AS backends, count(*) AS n_lines FROM ({_HITS}) GROUP BY 1, 2 HAVING count(DISTINCT backend) > 1",
+    "env_contract": f"WITH u AS ({_USED}), v AS ({_ENVD}), d AS (SELECT DISTINCT project_root, name FROM v) SELECT DISTINCT project_root, name, 'CFG003' AS rule_id FROM v WHERE regexp_matches(name, '(?i)token|secret|password|passwd|api[_-]?key|private[_-]?key') AND value <> '' AND NOT starts_with(value, '<') UNION ALL SELECT DISTINCT project_root, name, 'CFG004' FROM v WHERE regexp_matches(value, '(?i)changeme|change-me|secret|password|token|debug|sqlite|localhost|127\\.0\\.0\\.1') AND name NOT IN ('DEBUG', 'ENV', 'APP_ENV') UNION ALL SELECT coalesce(u.project_root, d.project_root) AS project_root, coalesce(u.name, d.name) AS name, CASE WHEN d.name IS NULL THEN 'CFG001' ELSE 'CFG002' END AS rule_id FROM u FULL JOIN d ON u.project_root = d.project_root AND u.name = d.name WHERE (u.name IS NULL OR d.name IS NULL) AND coalesce(u.project_root, d.project_root) IN (SELECT project_root FROM d)",
+    "db_markers": f"WITH l AS ({_DBL}) SELECT backend, source, count(*) AS n FROM ({_HITS}) GROUP BY 1, 2",
+    "db_findings": f"WITH l AS ({_DBL}), m AS ({_HITS}), run AS (SELECT * FROM m WHERE runs) SELECT project_root, path, NULL::INT AS line_number, 'DB001' AS rule_id, CASE WHEN bool_or(runs) THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM m GROUP BY 1, 2 HAVING count(DISTINCT backend) > 1 UNION ALL SELECT project_root, '<db-consistency>', NULL, 'DB002', 'HIGH' FROM run GROUP BY 1 HAVING bool_or(backend = 'sqlite') AND bool_or(backend = 'postgres') UNION ALL SELECT DISTINCT project_root, path, line_number, 'DB003', 'HIGH' FROM run WHERE backend = 'sqlite' AND (regexp_matches(path, '{_PROD}') OR regexp_matches(line, '{_PROD}')) UNION ALL SELECT project_root, path, NULL, 'DB004', 'HIGH' FROM run WHERE env IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT env) > 1 AND count(DISTINCT backend) > 1",
+    "mixed_backends": f"WITH l AS ({_DBL}) SELECT project_root, path, array_to_string(list_sort(list_distinct(list(backend))), ',') AS backends, count(*) AS n_lines FROM ({_HITS}) GROUP BY 1, 2 HAVING count(DISTINCT backend) > 1",
     "supply_chain": "SELECT pkg_name, 'SUPPLY010' AS rule_id FROM known_packages WHERE size % 3 > 0 UNION ALL SELECT pkg_name, 'SUPPLY020' FROM known_packages WHERE size % 3 = 2 UNION ALL SELECT pkg_name, 'SUPPLY011' FROM known_packages WHERE size % 3 = 1 AND starts_with(pkg_version, '0')",
     "release_repeats": "SELECT project_root, path AS name, count(DISTINCT lower(sha256)) AS n FROM manifest_entries GROUP BY 1, 2 HAVING count(DISTINCT lower(sha256)) > 1",
     "changed_files": "SELECT row_id FROM issue_snapshots i WHERE EXISTS (SELECT 1 FROM file_payloads p WHERE p.project_root = i.project_root AND p.path = i.file AND p.scanned_at >= (SELECT max(scanned_at) FROM file_payloads) - INTERVAL 30 DAY)",
     "missing_payloads": f"WITH {_SIDES} SELECT project_root, path FROM m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.project_root = m.project_root AND t.path = m.path)",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE, "structured_errors", "path_collisions", "unsafe_paths", "unresolved_links"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE, "migration_findings", "supply_files", "structured_errors", "path_collisions", "unsafe_paths", "unresolved_links"]}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import chunks_of, explode_lines, module_name
 from codeloom.operators import governance as G
+from codeloom.operators import integrity as I
 from codeloom.operators import line_rules as L
 from codeloom.session import table
 
@@ -96,9 +97,8 @@ def large_modules(spark, sf_dir):
 
 
 def link_extract(spark, sf_dir):
-    """X-11: targets of inline links of the documents."""
-    found = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"\[[^\]\n]*\]\(([^)\s]+)\)"), F.lit(1)))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", found.alias("target")).groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    """X-11: targets of the links of the documents, in all four forms."""
+    return I.links(table(spark, sf_dir, "documents"), ["doc_id"], "text").groupBy("doc_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def magic_numbers(spark, sf_dir):
@@ -117,7 +117,7 @@ _LINES = "string_split_regex(content, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85
 
 
 def _lines_sql(source: str) -> str:
-    return f"lines AS (SELECT * EXCLUDE (parts), parts[line_number] AS line FROM (SELECT * EXCLUDE (content, all_parts), unnest(generate_series(1, len(all_parts) - CASE WHEN all_parts[-1] = '' THEN 1 ELSE 0 END)) AS line_number, all_parts AS parts FROM (SELECT *, {_LINES} AS all_parts FROM {source} WHERE length(content) > 0)))"
+    return f"lines AS (SELECT * EXCLUDE (parts), parts[line_number] AS line FROM (SELECT * EXCLUDE (content, all_parts), content AS whole, unnest(generate_series(1, len(all_parts) - CASE WHEN all_parts[-1] = '' THEN 1 ELSE 0 END)) AS line_number, all_parts AS parts FROM (SELECT *, {_LINES} AS all_parts FROM {source} WHERE length(content) > 0)))"
 
 
 _FILES = "(SELECT payload_id, path, content FROM file_payloads)"
@@ -141,6 +141,9 @@ def _rule_sql(r: L.LineRule) -> str:
         c = f"regexp_matches(line, {_duck_pattern(r.pattern)})"
     if r.unless:
         c += f" AND NOT regexp_matches(line, {_q(r.unless)})"
+    for text, has, lacks in (("path", r.path, r.path_lacks), ("whole", r.file_has, r.file_lacks)):
+        c += f" AND regexp_matches({text}, {_q(has)})" if has else ""
+        c += f" AND NOT regexp_matches({text}, {_q(lacks)})" if lacks else ""
     if r.skip_tests:
         c += " AND NOT regexp_matches(path, '^(tests/|test_)')"
     if r.suffixes:
@@ -153,17 +156,20 @@ _ALL = " UNION ALL ".join(_rule_sql(r) for r in L.LINE_RULES)
 
 def _file_sql(r: L.FileRule) -> str:
     c = f"regexp_matches(path, {_q(r.path)})"
-    if r.has:
-        c += f" AND regexp_matches(coalesce(content, ''), {_q(r.has)})"
-    if r.lacks:
-        c += " AND NOT regexp_matches(coalesce(content, ''), " + _q(r.lacks.replace("(?!root\\b)", "([^r\\s]|r[^o\\s]|ro[^o\\s]|roo[^t\\s]|root\\w)")) + ")"
+    found = lambda p: f"regexp_matches(coalesce(content, ''), {_q(p)})"
+    if r.path_lacks:
+        c += f" AND NOT regexp_matches(path, {_q(r.path_lacks)})"
+    if r.either:
+        c += f" AND ({found(r.has)} OR NOT {found(r.lacks)})"
+    else:
+        c += "".join(f" AND {found(p)}" for p in (r.has, r.also) if p) + (f" AND NOT {found(r.lacks)}" if r.lacks else "")
     return f"SELECT payload_id, {_q(r.id)} AS rule_id, {_q(r.severity)} AS severity FROM file_payloads WHERE {c}"
 
 
 _OVER = r"(?i)\b(guarantee[ds]?|complete(ly)?|fully|all (bugs|issues|findings)|never|100 ?%|production[- ]ready)\b"
 _LIMIT = r"(?i)\b(limit(s|ed|ation|ations)?|except|unless|but|however|may|might|approximate(ly)?|not)\b"
 ORACLE = {
-    "severity_summary": f"WITH {_lines_sql(_BOTH)}, found AS ({_ALL}), kept AS (SELECT DISTINCT path, rule_id, severity, line_number, substr(line, 1, 240) AS l FROM found) SELECT count(*) FILTER (severity='CRITICAL') AS CRITICAL, count(*) FILTER (severity='HIGH') AS HIGH, count(*) FILTER (severity='MEDIUM') AS MEDIUM, count(*) FILTER (severity='LOW') AS LOW, count(*) AS TOTAL, 0::BIGINT AS FAILED_FILES, 0::BIGINT AS SKIPPED_FILES FROM kept",
+    "severity_summary": f"WITH {_lines_sql(_BOTH)}, found AS ({_ALL}), kept AS (SELECT DISTINCT path, rule_id, severity, line_number, trim(line, E' \t\r\n\x0b\x0c') AS l FROM found) SELECT count(*) FILTER (severity='CRITICAL') AS CRITICAL, count(*) FILTER (severity='HIGH') AS HIGH, count(*) FILTER (severity='MEDIUM') AS MEDIUM, count(*) FILTER (severity='LOW') AS LOW, count(*) AS TOTAL, 0::BIGINT AS FAILED_FILES, 0::BIGINT AS SKIPPED_FILES FROM kept",
     "code_line_findings": f"WITH {_lines_sql(_FILES)} SELECT payload_id, line_number::INT AS line_number, rule_id, severity FROM ({_ALL})",
     "doc_line_findings": f"WITH {_lines_sql(_TEXTS)} SELECT payload_id, line_number::INT AS line_number, rule_id, severity FROM ({_ALL})",
     "file_rule_findings": " UNION ALL ".join(_file_sql(r) for r in L.FILE_RULES),
@@ -176,7 +182,7 @@ ORACLE = {
     "overlap_chunks": "SELECT doc_id, c::INT AS chunk_no, (c * 350)::INT AS start, md5(substr(text, c * 350 + 1, 400)) AS digest FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(ceil((length(text) - 400) / 350.0), 0)::INT)) AS c FROM documents WHERE text IS NOT NULL)",
     "module_names": "SELECT payload_id, array_to_string(list_filter(string_split(regexp_replace(path, '\\.[^./]*$', ''), '/'), lambda p: p <> '__init__' AND p <> ''), '.') AS module FROM file_payloads WHERE ends_with(path, '.py')",
     "large_modules": f"WITH {_lines_sql(_FILES)} SELECT payload_id, count(*) AS n_lines FROM lines GROUP BY 1 ORDER BY n_lines DESC, payload_id LIMIT 20",
-    "link_extract": "SELECT doc_id, target, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[[^\\]\\n]*\\]\\(([^)\\s]+)\\)', 1)) AS target FROM documents) GROUP BY 1, 2",
+    "link_extract": "SELECT doc_id, target, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all(text, {_q(p)}, 1)) AS target FROM documents" for p in I.LINKS) + ") GROUP BY 1, 2",
     "magic_numbers": f"WITH {_lines_sql(_FILES)}, one AS (SELECT payload_id, avg(regexp_matches(line, '^\\s*(#|//)')::DOUBLE) AS comment_density, least(count(*) FILTER (regexp_matches(line, '\\b(TODO|FIXME)\\b')), 10) AS markers, avg(regexp_matches(line, '\\b[0-9]{{2,}}\\b')::DOUBLE) AS number_lines FROM lines GROUP BY 1) SELECT *, comment_density > (SELECT avg(comment_density) FROM one) AS above_mean FROM one",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

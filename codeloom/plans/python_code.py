@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import python_facts as P
 from codeloom.operators import taint as T
-from codeloom.session import table
+from codeloom.session import kept, table
 
 
 def _files(spark, sf_dir):
     return table(spark, sf_dir, "file_payloads").select("payload_id", "project_root", "path", "content")
 
 
+def kept_facts(spark, sf_dir):
+    """The facts as a table, for queries that use them more than once: files are parsed once."""
+    return kept(P.python_facts(_files(spark, sf_dir)))
+
+
 # A template for each rule, by part size, for rules that the scanned files rarely break.
 TEMPLATES = {
     "PY002": "eval(x)\n",
@@ -55,19 +60,19 @@ def python_rule_findings(spark, sf_dir):
 
 
 def duplicate_definitions(spark, sf_dir):
-    return P.duplicate_definitions(P.python_facts(_files(spark, sf_dir)))
+    return P.duplicate_definitions(kept_facts(spark, sf_dir))
 
 
 def unknown_exports(spark, sf_dir):
-    return P.unknown_exports(P.python_facts(_files(spark, sf_dir)))
+    return P.unknown_exports(kept_facts(spark, sf_dir))
 
 
 def unknown_call_ratio(spark, sf_dir):
-    return P.unknown_call_ratio(P.python_facts(_files(spark, sf_dir)))
+    return P.unknown_call_ratio(kept_facts(spark, sf_dir))
 
 
 def branching_entropy(spark, sf_dir):
-    return P.branching_entropy(P.python_facts(_files(spark, sf_dir)))
+    return P.branching_entropy(kept_facts(spark, sf_dir))
 
 
 def interface_hashes(spark, sf_dir):
@@ -75,7 +80,7 @@ def interface_hashes(spark, sf_dir):
 
 
 def taint_findings(spark, sf_dir):
-    return T.taint_findings(T.python_flows(_files(spark, sf_dir)))
+    return T.taint_findings(kept(T.python_flows(_files(spark, sf_dir))))
 
 
 _K = len(TEMPLATES)

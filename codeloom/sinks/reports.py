@@ -38,8 +38,12 @@ def _top(issues: DataFrame, limit: int, order: list[str]) -> tuple[list[dict], d
     return rows, severity_summary(issues).first().asDict()
 
 
-def sarif(issues: DataFrame, limit: int = 5000, order: tuple[str, ...] = ("file", "line_number", "category")) -> str:
-    """SNK-02: a SARIF 2.1.0 document; rules are the distinct rule ids in order of appearance."""
+def sarif(issues: DataFrame, limit: int = 5000, order: tuple[str, ...] = ("file", "line_number", "category"), failed: DataFrame | None = None, skipped: DataFrame | None = None) -> str:
+    """SNK-02: a SARIF 2.1.0 document; rules are the distinct rule ids in order of appearance.
+
+    ``failed`` and ``skipped`` have ``file, reason``; the first ``limit`` of each are notifications of the run.
+    """
+    notes = [{"level": level, "message": {"text": f"{r['file']}: {r['reason']}"}} for df, level in ((failed, "error"), (skipped, "note")) if df is not None for r in df.orderBy("file", "reason").limit(limit).collect()]
     rows, counts = _top(issues, limit, list(order))
     rules = list(dict.fromkeys((r["category"] or "").split(":")[0] for r in rows))
     results = [
@@ -52,15 +56,16 @@ def sarif(issues: DataFrame, limit: int = 5000, order: tuple[str, ...] = ("file"
         }
         for r in rows
     ]
-    run = {"tool": {"driver": {"name": "codeloom", "rules": [{"id": i} for i in rules]}}, "results": results, "properties": {"total": counts["TOTAL"]}}
+    invocation = {"executionSuccessful": not any(n["level"] == "error" for n in notes), "toolExecutionNotifications": notes}
+    run = {"invocations": [invocation], "tool": {"driver": {"name": "codeloom", "rules": [{"id": i} for i in rules]}}, "results": results, "properties": {"total": counts["TOTAL"]}}
     return json.dumps({"version": "2.1.0", "runs": [run]}, indent=1)
 
 
 def junit(issues: DataFrame, limit: int = 5000, order: tuple[str, ...] = ("file", "line_number", "category")) -> str:
-    """SNK-03: a JUnit document in which every Issue is a failed case; at least one case."""
+    """SNK-03: a JUnit document in which every Issue is a failed case; at least one case. It counts the cases that it holds; the number of all Issues is a property."""
     rows, counts = _top(issues, limit, list(order))
     cases = [f"<testcase classname={quoteattr(r['file'] or '')} name={quoteattr(r['category'] or '')}><failure message={quoteattr(r['description'] or '')}>{escape(r['severity'] or '')}</failure></testcase>" for r in rows] or ['<testcase classname="codeloom" name="clean"/>']
-    return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="codeloom" tests="{max(1, counts["TOTAL"])}" failures="{counts["TOTAL"]}">' + "".join(cases) + "</testsuite>\n"
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="codeloom" tests="{len(cases)}" failures="{len(rows)}"><properties><property name="total" value="{counts["TOTAL"]}"/></properties>' + "".join(cases) + "</testsuite>\n"
 
 
 def markdown(issues: DataFrame, limit: int = 200, order: tuple[str, ...] = ("file", "line_number", "category")) -> str:

@@ -114,7 +114,7 @@ def test_registries(spark):
 
 def test_settings(spark):
     df = spark.createDataFrame([(1, "p", "a.py", "os.environ['DB_URL']\nos.getenv('KEY_A')\nimport redis\n"), (2, "p", ".env.example", "DB_URL=postgres://x\nOLD_ONE=1\n"), (3, "q", "b.py", "os.getenv('ZZZ')")], "payload_id int, project_root string, path string, content string")
-    assert rows(S.env_contract(S.env_used(df), S.env_documented(df))) == [("p", "KEY_A", "CFG003"), ("p", "OLD_ONE", "CFG002")]
+    assert rows(S.env_contract(S.env_used(df), S.env_documented(df))) == [("p", "KEY_A", "CFG001"), ("p", "OLD_ONE", "CFG002")]
     inline = spark.createDataFrame([("src/a/x.py", ["@t1"]), ("src/b.py", ["@t2"])], "path string, owners array<string>")
     owners = spark.createDataFrame([("/src/", ["@t2"]), ("src/a/*", ["@t3"])], "pattern string, owners array<string>")
     assert rows(S.owner_conflicts(inline, owners).select("path")) == [("src/a/x.py",)]
