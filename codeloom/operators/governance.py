@@ -135,9 +135,9 @@ def budget_failures(issues: DataFrame, policy: Policy) -> DataFrame:
     return limits.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"), "most").where("n > most")
 
 
-def new_issues(issues: DataFrame, baseline: DataFrame, least: str = "LOW") -> DataFrame:
-    """Issues of at least a severity whose fingerprint the baseline lacks."""
-    return issues.where(severity_order(F.col("severity")) >= _ORDER[least]).join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")
+def new_issues(issues: DataFrame, baseline: DataFrame, least: str = "LOW", keys: tuple[str, ...] = ("fingerprint",)) -> DataFrame:
+    """J-02: Issues of at least a severity whose ``keys`` the baseline lacks."""
+    return issues.where(severity_order(F.col("severity")) >= _ORDER[least]).join(baseline.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def blocking(issues: DataFrame, failed: DataFrame | None = None) -> DataFrame:

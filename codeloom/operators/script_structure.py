@@ -44,6 +44,7 @@ def without_comments(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+# Sources, sinks and signs of the rules over scripts.
 _PARAMS = r"new\s+URLSearchParams|URLSearchParams\(|location\.search"
 _SOURCE = r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=.*(?:location\.search|URLSearchParams|\.searchParams\.get|localStorage\.getItem|sessionStorage\.getItem)"
 _SINK = r"\.(?:innerHTML|outerHTML|insertAdjacentHTML)\s*(?:=|\()"
@@ -53,8 +54,9 @@ def structure_findings(corpus: DataFrame, key: str = "payload_id") -> DataFrame:
     """``key, line_number, rule_id`` of JSSTR001 to JSSTR007, over lines without comments.
 
     Proximity is a window over the lines of one file, several flags in one sort. For
-    JSSTR007 each name's latest assignment so far counts, by a join on file and name after
-    the names are cut out of the sink lines, so no line meets every other line.
+    JSSTR007 the names in the sink lines and the assigned names of a file meet in one sort by
+    file and name, in which the latest assignment so far is carried along (as-of), so no line
+    meets every other line.
     """
     files = corpus.where(suffix(F.coalesce("path", F.lit(""))).isin(*SCRIPTS) & F.col("content").isNotNull())
     rows = explode_lines(files.select(key, without_comments(F.col("content")).alias("content")))
@@ -76,8 +78,11 @@ def structure_findings(corpus: DataFrame, key: str = "payload_id") -> DataFrame:
         )
     )
     plain = flagged.select(key, "line_number", F.explode(hits).alias("rule_id"))
-    sources = rows.where(has(_SOURCE)).select(key, F.col("line_number").alias("_src"), F.regexp_extract("line", _SOURCE, 1).alias("_name"))
-    sinks = rows.where(has(_SINK)).select(key, "line_number", "line")
-    pairs = sinks.join(sources, key).where((F.col("_src") <= F.col("line_number")) & F.contains("line", F.col("_name")))
-    latest = pairs.groupBy(key, "line_number", "_name").agg(F.max("_src").alias("_src")).where(F.col("line_number") - F.col("_src") <= 20)
+    none = F.lit(None).cast("int")
+    sources = rows.where(has(_SOURCE)).select(key, "line_number", F.regexp_extract("line", _SOURCE, 1).alias("_name"), F.col("line_number").alias("_src"))
+    used = F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))))
+    sinks = rows.where(has(_SINK)).select(key, "line_number", used.alias("_name"), none.alias("_src"))
+    upto = Window.partitionBy(key, "_name").orderBy("line_number", F.col("_src").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = sources.unionByName(sinks).withColumn("_last", F.last("_src", ignorenulls=True).over(upto))
+    latest = met.where(F.col("_src").isNull() & (F.col("line_number") - F.col("_last") <= 20))
     return plain.unionByName(latest.select(key, "line_number", F.lit("JSSTR007").alias("rule_id")).distinct())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import rule_id
 from codeloom.operators import governance as G
 from codeloom.session import table
+from codeloom.sinks.reports import annotation_command
 
 # A fixed list to suppress by; the fourth is shadowed by the second, the fifth matches nothing.
 SUPPRESSIONS = [
@@ -92,8 +93,7 @@ def new_vs_baseline(spark, sf_dir):
     ends = all_.groupBy("project_root").agg(F.min("snapshot_no").alias("_first"), F.max("snapshot_no").alias("_last"))
     tagged = all_.join(ends, "project_root")
     last, first = tagged.where("snapshot_no = _last"), tagged.where("snapshot_no = _first")
-    high = last.where(G.severity_order(F.col("severity")) >= 3)
-    return high.join(first.select("project_root", "fingerprint").distinct(), ["project_root", "fingerprint"], "left_anti").select("row_id", "fingerprint")
+    return G.new_issues(last, first, "HIGH", ("project_root", "fingerprint")).select("row_id", "fingerprint")
 
 
 def review_queues(spark, sf_dir):
@@ -146,11 +146,7 @@ def trend_dashboard(spark, sf_dir):
 
 def annotations(spark, sf_dir):
     """SNK-07: the first fifty annotation commands."""
-    from codeloom.functions.text import annotation_escape
-
-    level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("notice")
-    text = F.concat(F.lit("::"), level, F.lit(" file="), annotation_escape(F.col("file")), F.lit(",line="), F.greatest(F.coalesce("line_number", F.lit(1)), F.lit(1)).cast("string"), F.lit("::"), annotation_escape(F.coalesce("description", F.lit(""))))
-    return _norm(spark, sf_dir).orderBy("row_id").limit(50).select("row_id", text.alias("command"))
+    return _norm(spark, sf_dir).orderBy("row_id").limit(50).select("row_id", annotation_command().alias("command"))
 
 
 def confusion(spark, sf_dir):
@@ -189,11 +185,11 @@ ORACLE = {
     "gate_matrix": _N + "SELECT 'quality_matrix.' || detector AS gate, count(*) AS n, count(*) FILTER (rank >= 3) AS blockers, count(DISTINCT split_part(trim(category), ':', 1)) AS kinds FROM norm GROUP BY 1",
     "coverage_matrix": _N + "SELECT 'detector' AS dimension, detector AS value, count(*) AS n FROM norm GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM norm GROUP BY 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM norm GROUP BY 2",
     "trend_dashboard": _N + "SELECT project_root, snapshot_no, count(*) FILTER (rank = 4) AS CRITICAL, count(*) FILTER (rank = 3) AS HIGH, count(*) FILTER (rank = 2) AS MEDIUM, count(*) FILTER (rank = 1) AS LOW FROM norm GROUP BY 1, 2",
-    "annotations": _N + "SELECT row_id, '::' || CASE WHEN rank >= 3 THEN 'error' WHEN rank = 2 THEN 'warning' ELSE 'notice' END || ' file=' || esc(file) || ',line=' || greatest(coalesce(line_number, 1), 1) || '::' || esc(coalesce(description, '')) AS command FROM norm ORDER BY row_id LIMIT 50",
+    "annotations": _N + "SELECT row_id, '::' || CASE WHEN rank >= 3 THEN 'error' WHEN rank = 2 THEN 'warning' ELSE 'notice' END || ' file=' || esc(coalesce(file, '')) || ',line=' || greatest(coalesce(line_number, 1), 1) || '::' || esc(coalesce(description, '')) AS command FROM norm ORDER BY row_id LIMIT 50",
     "confusion": _N.rstrip()[:-1] + "), steps AS (SELECT project_root, snapshot_no, row_number() OVER (PARTITION BY project_root ORDER BY snapshot_no DESC) AS back FROM (SELECT DISTINCT project_root, snapshot_no FROM norm)), each AS (SELECT project_root, detector, fingerprint, bool_or(back = 1) AS truth, bool_or(back = 2) AS said FROM norm JOIN steps USING (project_root, snapshot_no) WHERE back <= 2 GROUP BY 1, 2, 3) SELECT detector, count(*) FILTER (truth AND said) AS tp, count(*) FILTER (NOT truth AND said) AS fp, count(*) FILTER (truth AND NOT said) AS fn, coalesce(tp / nullif(tp + fp, 0), 1.0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 1.0)::DOUBLE AS recall FROM each GROUP BY 1",
 }
 for _k in ("annotations",):
     import re as _re
 
-    ORACLE[_k] = _re.sub(r"esc\((file|coalesce\(description, ''\))\)", lambda m: f"replace(replace(replace(replace(replace({m[1]}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')", ORACLE[_k])
+    ORACLE[_k] = _re.sub(r"esc\((coalesce\(file, ''\)|coalesce\(description, ''\))\)", lambda m: f"replace(replace(replace(replace(replace({m[1]}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A'), ':', '%3A'), ',', '%2C')", ORACLE[_k])
 QUERIES = {name: globals()[name] for name in ORACLE}

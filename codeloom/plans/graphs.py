@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from codeloom.operators import call_graph as C
 from codeloom.operators import drift as D
 from codeloom.operators.python_facts import python_facts
+from codeloom.operators.registries import ambiguities, array_elements
+from codeloom.operators.script_structure import structure_findings
 from codeloom.plans.python_code import kept_facts
 from codeloom.session import table
 
@@ -80,80 +82,85 @@ def regressions(spark, sf_dir):
     return D.regressions(e, "user_id", ["ts", "event_id"], "bucket", F.col("event_type") == "error").select("event_id", "user_id", "bucket")
 
 
+def _parts(spark, sf_dir, path: str, text):
+    """A file for each part, with text that depends on its size."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("payload_id"), F.lit("/srv/parts").alias("project_root"), F.format_string(path, "p_partkey").alias("path"), text.alias("content"))
+
+
+def _apart(spark, sf_dir, first: str, last: str):
+    """Scripts whose last line comes as many lines after the first as the part's size says, and one more."""
+    return _parts(spark, sf_dir, "web/p%d.js", F.concat(F.lit(first), F.repeat(F.lit("step();\n"), F.col("p_size")), F.lit(last)))
+
+
+def _rule(found, rule_id: str):
+    return found.where(F.col("rule_id") == rule_id).select("payload_id", "line_number")
+
+
 def lookback_14(spark, sf_dir):
-    """W-04, JSSTR003's frame: a purchase with an error among the fourteen events before it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-14, 0)
-    e = table(spark, sf_dir, "events").withColumn("_near", F.max((F.col("event_type") == "error").cast("int")).over(w))
-    return e.where((F.col("event_type") == "purchase") & (F.col("_near") == 1)).select("event_id")
+    """W-04, JSSTR003: a jump with query parameters among the fourteen lines before it."""
+    return _rule(structure_findings(_apart(spark, sf_dir, "const q = new URLSearchParams(text);\n", "location.href = next;\n")), "JSSTR003")
 
 
 def lookahead_19(spark, sf_dir):
-    """W-01, JSSTR002's frame: a signup without a purchase in it or the nineteen events after it."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, 19)
-    e = table(spark, sf_dir, "events").withColumn("_guard", F.max((F.col("event_type") == "purchase").cast("int")).over(w))
-    return e.where((F.col("event_type") == "signup") & (F.col("_guard") == 0)).select("event_id")
+    """W-01, JSSTR002: a message listener without a check of the origin in it or the nineteen lines after it."""
+    return _rule(structure_findings(_apart(spark, sf_dir, "addEventListener('message', (event) => {\n", "if (trustedOrigins.includes(event.origin)) run();\n});\n")), "JSSTR002")
 
 
 def asof_source_to_sink(spark, sf_dir):
-    """J-06: each purchase with the user's latest error before it, if within 200 of the user's events.
+    """J-06, JSSTR007: markup written from a name whose latest assignment, at most twenty lines before, is a source."""
+    return _rule(structure_findings(_apart(spark, sf_dir, "const raw = location.search;\n", "el.innerHTML = raw;\n")), "JSSTR007")
+
+
+def _registries(spark, sf_dir):
+    """A registry of four lists for each part; which of them contradict themselves follows from its size."""
+    size = F.col("p_size")
+    pick = lambda n, a, b: F.when(size % n == 0, F.lit(a)).otherwise(F.lit(b))
+    flips = pick(2, '[{"role":"r","resource":"/a","on":true},{"role":"r","resource":"/a","on":false}]', '[{"role":"r","resource":"/a","on":true},{"role":"r","resource":"/a","on":true}]')
+    effects = pick(3, '[{"role":"r","action":"read","resource":"/a","effect":"allow"},{"role":"r","action":"read","resource":"/a","effect":"deny"}]', '[{"role":"r","action":"read","resource":"/a","effect":"allow"},{"role":"r","action":"write","resource":"/a","effect":"deny"}]')
+    ids = pick(4, '[{"id":"a"},{"id":"b"},{"id":"a"}]', '[{"id":"a"},{"id":"b"},{"id":"c"}]')
+    routes = pick(5, '[{"role":"r","resource":"*"},{"role":"r","resource":"/a"}]', '[{"role":"r","resource":"/a"},{"role":"r","resource":"*"}]')
+    text = F.concat(F.lit('{"flips":'), flips, F.lit(',"effects":'), effects, F.lit(',"ids":'), ids, F.lit(',"routes":'), routes, F.lit("}"))
+    return ambiguities(array_elements(_parts(spark, sf_dir, "conf/p%d.json", text)))
 
-    As-of by a running ``last`` over one sort, not by a range join.
-    """
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("pos", F.row_number().over(w))
-    src = F.when(F.col("event_type") == "error", F.struct("pos", "event_id"))
-    last = F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return e.withColumn("_s", last).where((F.col("event_type") == "purchase") & (F.col("pos") - F.col("_s.pos") <= 200)).select("event_id", F.col("_s.event_id").alias("source_id"))
+
+def _ambiguous(spark, sf_dir, rule_id: str):
+    return _registries(spark, sf_dir).where(F.col("rule_id") == rule_id).select("payload_id", "array_id", "idx")
 
 
 def boolean_flip(spark, sf_dir):
-    """A-09: events whose flag (value over 50) differs from the user's previous event of the same type."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    flag = F.col("value") > 50
-    return table(spark, sf_dir, "events").withColumn("_was", F.lag(flag).over(w)).where(flag != F.col("_was")).select("event_id")
+    """A-09, ARR008: a flag that differs from the one before it for the same identity."""
+    return _ambiguous(spark, sf_dir, "ARR008")
 
 
 def policy_conflicts(spark, sf_dir):
-    """A-08: user and day groups with both effects, at the first event of the second effect."""
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "error")).withColumn("day", F.to_date("ts"))
-    firsts = e.groupBy("user_id", "day", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-    both = firsts.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("k"), F.max("f").alias("f")).where("k = 2")
-    return both.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("f.event_id").alias("event_id"))
+    """A-08, ARR004: both effects on one subject, action and resource, at the second."""
+    return _ambiguous(spark, sf_dir, "ARR004")
 
 
 def duplicate_registry_keys(spark, sf_dir):
-    """A-07, W-05: the second and later occurrence of a key in each list: orders of a customer by priority."""
-    o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return o.withColumn("nth", F.row_number().over(w)).where("nth > 1").select("o_orderkey", "nth")
+    """A-07, W-05, ARR003: the second and later occurrence of an id in a list."""
+    return _ambiguous(spark, sf_dir, "ARR003")
 
 
 def wildcard_shadowing(spark, sf_dir):
-    """W-06: parts that an earlier part of the same brand and a type that covers them precedes.
-
-    A part of size 1 stands for a wildcard. The first wildcard of a brand and type decides,
-    so it is aggregated and joined instead of compared pair by pair.
-    """
-    p = table(spark, sf_dir, "part")
-    first = p.where("p_size = 1").groupBy("p_brand").agg(F.min("p_partkey").alias("w"))
-    return p.where("p_size > 1").join(first, "p_brand").where("p_partkey > w").select("p_partkey", "w")
+    """W-06, ARR005: a specific entry after a wildcard that covers it."""
+    return _ambiguous(spark, sf_dir, "ARR005")
 
 
 _E = """WITH RECURSIVE seq AS (SELECT n_regionkey AS graph, n_name AS src, lead(n_name, 1) OVER w AS a, lead(n_name, 2) OVER w AS b, first_value(n_name) OVER w AS f FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)),
 e AS (SELECT DISTINCT graph, src, dst FROM (SELECT graph, src, coalesce(a, f) AS dst FROM seq UNION ALL SELECT graph, src, coalesce(b, f) FROM seq) WHERE src <> dst)"""
-_EV = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events"
 ORACLE = {
     "bounded_paths": _E + ", walk AS (SELECT graph, [src, dst] AS path, dst AS fin, 1 AS d FROM e UNION ALL SELECT w.graph, list_append(w.path, e.dst), e.dst, d + 1 FROM walk w JOIN e ON e.graph = w.graph AND e.src = w.fin WHERE d < 4 AND len(list_distinct(w.path)) = len(w.path)), s AS (SELECT graph, max(dst) AS fin FROM e GROUP BY 1) SELECT w.graph, array_to_string(w.path, '>') AS path FROM walk w JOIN s ON s.graph = w.graph AND s.fin = w.fin",
     "neighbourhood": _E + ", u AS (SELECT * FROM e UNION SELECT graph, dst, src FROM e), s AS (SELECT graph, min(src) AS node FROM e GROUP BY 1), w AS (SELECT graph, 0 AS hop, node FROM s UNION SELECT w.graph, hop + 1, u.dst FROM w JOIN u ON u.graph = w.graph AND u.src = w.node WHERE hop < 2) SELECT graph, min(hop) AS hop, node FROM w GROUP BY graph, node",
     "first_chain": _E + ", n AS (SELECT graph, src, min(dst) AS dst FROM e GROUP BY 1, 2), w AS (SELECT DISTINCT graph, src AS root, [src] AS chain, src AS at FROM e UNION ALL SELECT w.graph, root, list_append(chain, n.dst), n.dst FROM w JOIN n ON n.graph = w.graph AND n.src = w.at WHERE NOT list_contains(chain, n.dst) AND len(chain) <= 15) SELECT graph, root, array_to_string(arg_max(chain, len(chain)), '>') AS chain FROM w GROUP BY 1, 2",
     "drift_state": "SELECT event_id, score, run::BIGINT AS run, score > 20.0 OR run >= 3 AS alert FROM (SELECT *, sum(bad) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run FROM (SELECT *, sum(step) OVER w AS score, sum(1 - bad) OVER w AS island FROM (SELECT *, CASE event_type WHEN 'error' THEN 1.0 WHEN 'signup' THEN 0.5 ELSE 0.0 END::DOUBLE AS step, (event_type IN ('error','signup'))::INT AS bad FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))",
     "regressions": "WITH b AS (SELECT *, floor(value / 10)::INT AS bucket FROM events) SELECT event_id, user_id, bucket FROM b x WHERE EXISTS (SELECT 1 FROM b y WHERE y.user_id = x.user_id AND y.bucket = x.bucket AND y.event_type = 'error' AND (y.ts < x.ts OR y.ts = x.ts AND y.event_id < x.event_id))",
-    "lookback_14": "SELECT event_id FROM (SELECT *, max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS near FROM events) WHERE event_type = 'purchase' AND near = 1",
-    "lookahead_19": "SELECT event_id FROM (SELECT *, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS near FROM events) WHERE event_type = 'signup' AND near = 0",
-    "asof_source_to_sink": f"WITH e AS ({_EV}) SELECT k.event_id, arg_max(s.event_id, s.pos) AS source_id FROM e k JOIN e s ON s.user_id = k.user_id AND s.event_type = 'error' AND s.pos <= k.pos WHERE k.event_type = 'purchase' GROUP BY k.event_id, k.pos HAVING k.pos - max(s.pos) <= 200",
-    "boolean_flip": "SELECT event_id FROM (SELECT event_id, value > 50 AS f, lag(value > 50) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events) WHERE f <> was",
-    "policy_conflicts": "WITH f AS (SELECT user_id, ts::DATE AS day, event_type, min((ts, event_id)) AS f FROM events WHERE event_type IN ('purchase','error') GROUP BY 1, 2, 3) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, max(f)[2] AS event_id FROM f GROUP BY 1, 2 HAVING count(*) = 2",
-    "duplicate_registry_keys": "SELECT o_orderkey, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth > 1",
-    "wildcard_shadowing": "SELECT s.p_partkey, min(w.p_partkey) AS w FROM part s JOIN part w ON w.p_brand = s.p_brand AND w.p_size = 1 AND w.p_partkey < s.p_partkey WHERE s.p_size > 1 GROUP BY 1",
+    "lookback_14": "SELECT p_partkey AS payload_id, p_size + 2 AS line_number FROM part WHERE p_size + 1 <= 14",
+    "lookahead_19": "SELECT p_partkey AS payload_id, 1 AS line_number FROM part WHERE p_size + 1 > 19",
+    "asof_source_to_sink": "SELECT p_partkey AS payload_id, p_size + 2 AS line_number FROM part WHERE p_size + 1 <= 20",
+    "boolean_flip": "SELECT p_partkey AS payload_id, '$.flips' AS array_id, 1 AS idx FROM part WHERE p_size % 2 = 0",
+    "policy_conflicts": "SELECT p_partkey AS payload_id, '$.effects' AS array_id, 1 AS idx FROM part WHERE p_size % 3 = 0",
+    "duplicate_registry_keys": "SELECT p_partkey AS payload_id, '$.ids' AS array_id, 2 AS idx FROM part WHERE p_size % 4 = 0",
+    "wildcard_shadowing": "SELECT p_partkey AS payload_id, '$.routes' AS array_id, 1 AS idx FROM part WHERE p_size % 5 = 0",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLE, "code_call_edges", "code_graph_findings", "code_graph_nodes", "code_unknown_calls"]}

@@ -28,6 +28,28 @@ TEMPLATES = {
     "PY011": "def f(a=[]):\n    return a\n",
     "PY015": "cur.execute(f'select {x}')\n",
     "PY017": "import hashlib\nhashlib.md5(b)\n",
+    "PY001": "api_key = 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123'\n",
+    "PY004": "try:\n    f()\nexcept:\n    g()\n",
+    "PY007": "import yaml\nyaml.load(x)\n",
+    "PY009": "import time\nasync def f():\n    time.sleep(1)\n",
+    "PY010": "price: float = 1.0\n",
+    "PY012": "import os\nos.system(c)\n",
+    "PY013": "import tempfile\ntempfile.mktemp()\n",
+    "PY014": "assert x\n",
+    "PY016": "import asyncio\nasyncio.create_task(f())\n",
+    "PY018": "from datetime import datetime\ndatetime.utcnow()\n",
+    "PY019": "from a import *\n",
+    "PY020": "open(p)\n",
+    "PY021": "import logging\nlogging.info(token)\n",
+    "PY022": "r.json()\n",
+    "PY023": "import random\ntoken = random.random()\n",
+    "PY024": "import requests\nrequests.get(u, timeout=1, verify=False)\n",
+    "PY025": "import urllib.request\nurllib.request.urlopen(u)\n",
+    "PY026": "import ssl\nssl._create_unverified_context()\n",
+    "PY027": "app.run(debug=True)\n",
+    "PY028": "DEBUG = True\n",
+    "PYDF002": "import os\nc = input()\nos.system(c)\n",
+    "PYDF003": "v = request.args.get('v')\nrender_template_string(v)\n",
     "PYDF001": "q = request.args.get('q')\ncur.execute('select ' + q)\n",
     "": "import subprocess\nsubprocess.run(['ls'])\n",
 }
@@ -83,9 +105,14 @@ def taint_findings(spark, sf_dir):
     return T.taint_findings(kept(T.python_flows(_files(spark, sf_dir))))
 
 
-_K = len(TEMPLATES)
-ORACLE = {
-    "ast_rule_counts": " UNION ALL ".join(f"SELECT '{k}' AS rule_id, count(*) AS n FROM part WHERE p_size % {_K} = {i}" + " HAVING count(*) > 0" for i, k in enumerate(TEMPLATES) if k.startswith("PY0")).replace("SELECT 'PY015' AS rule_id, count(*) AS n FROM part WHERE p_size % 10 = 6", "SELECT 'PY015' AS rule_id, count(*) AS n FROM part WHERE p_size % 10 IN (6, 8)"),
-    "templated_taint": f"SELECT 'PYDF001' AS rule_id, count(*) AS n FROM part WHERE p_size % {_K} = 8",
-}
+# What each template breaks: its own rule, and for those of a flow also the rule on the sink.
+_BREAKS = [(i, k) for i, k in enumerate(TEMPLATES) if k.startswith("PY0")] + [(list(TEMPLATES).index("PYDF001"), "PY015"), (list(TEMPLATES).index("PYDF002"), "PY012")]
+_FLOWS = [(i, k) for i, k in enumerate(TEMPLATES) if k.startswith("PYDF")]
+
+
+def _counted(pairs: list[tuple[int, str]]) -> str:
+    return f"SELECT rule_id, count(*) AS n FROM part JOIN (VALUES {', '.join(map(str, pairs))}) t(k, rule_id) ON p_size % {len(TEMPLATES)} = k GROUP BY 1"
+
+
+ORACLE = {"ast_rule_counts": _counted(_BREAKS), "templated_taint": _counted(_FLOWS)}
 QUERIES = {n: globals()[n] for n in ("ast_rule_counts", "templated_taint", "ast_fact_counts", "python_rule_findings", "duplicate_definitions", "unknown_exports", "unknown_call_ratio", "branching_entropy", "interface_hashes", "taint_findings")}

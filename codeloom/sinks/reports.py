@@ -10,10 +10,10 @@ from __future__ import annotations
 import json
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import rule_id
+from codeloom.functions.text import annotation_escape, rule_id
 from codeloom.operators.governance import severity_order, severity_summary
 
 # Levels of the report formats.
@@ -112,14 +112,16 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
+def annotation_command() -> Column:
+    """SNK-07: an Issue as an annotation command."""
+    level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("notice")
+    return F.concat(F.lit("::"), level, F.lit(" file="), annotation_escape(F.coalesce("file", F.lit(""))), F.lit(",line="), F.greatest(F.coalesce("line_number", F.lit(1)), F.lit(1)).cast("string"), F.lit("::"), annotation_escape(F.coalesce("description", F.lit(""))))
+
+
 def annotations(issues: DataFrame, limit: int = 50) -> list[str]:
     """SNK-07: the first Issues as annotation commands, in report order (``seq`` if there)."""
-    from codeloom.functions.text import annotation_escape
-
-    level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("notice")
-    text = F.concat(F.lit("::"), level, F.lit(" file="), annotation_escape(F.coalesce("file", F.lit(""))), F.lit(",line="), F.greatest(F.coalesce("line_number", F.lit(1)), F.lit(1)).cast("string"), F.lit("::"), annotation_escape(F.coalesce("description", F.lit(""))))
     order = ["seq"] if "seq" in issues.columns else ["file", "line_number", "category"]
-    return [r[0] for r in issues.orderBy(*order).limit(limit).select(text).collect()]
+    return [r[0] for r in issues.orderBy(*order).limit(limit).select(annotation_command()).collect()]
 
 
 def fix_suggestions(issues: DataFrame) -> DataFrame:
