@@ -249,12 +249,17 @@ def merged_schema(children: DataFrame) -> DataFrame:
     )
 
 
-def child_table(children: DataFrame, table: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
+def child_table(children: DataFrame, table: str, fields: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """One flat child table: keys to root and parent, ordinal, and the typed ``fields``.
 
-    ``fields`` are ``(name, kind)`` as ``merged_schema`` gives them; dots in a name become
+    ``fields`` are ``(name, kind)`` as ``merged_schema`` gives them; without them the schema
+    is inferred from all children of the table first (one row a field comes to the driver,
+    so ``children`` should be kept as a table); dots in a name become
     underscores, and a name that would repeat gets a trailing underscore.
     """
+    if fields is None:
+        own = children.where(F.col("table") == table)
+        fields = [(r["field"], r["kind"]) for r in merged_schema(own).groupBy("field").agg(F.when(F.count_distinct("kind") == 1, F.min("kind")).otherwise("string").alias("kind")).orderBy("field").collect()]
     names: list[str] = ["record_src", "root_id", "child_path", "parent_path", "ordinal"]
     cols = []
     for name, kind in fields:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.columns import relative_posix
 from codeloom.functions.paths import evidence_path_problem, unsafe_path
 from codeloom.operators import integrity as I
+from codeloom.operators import line_rules as L
 from codeloom.operators import settings as S
 from codeloom.session import table
 
@@ -131,6 +132,30 @@ def missing_payloads(spark, sf_dir):
     return S.missing(_manifest(spark, sf_dir).select("project_root", "path"), _tree(spark, sf_dir), ["project_root", "path"])
 
 
+# The files of a project for each of six kinds, which break the rules beside them.
+GATES = (
+    ((".env.example", "DATABASE_URL=postgres://x\nSQLITE_PATH=a.db\n"), ("requirements.txt", "")),
+    (("deploy/run.py", "x = 'sqlite:///a'\n"),),
+    (("migrations/a.py", "revision = 'r1'\n"), ("migrations/b.py", "revision = 'r1'\n"), ("pyproject.toml", 'dependencies = [\n  "a>=1",\n]\n')),
+    (("package.json", '{"dependencies":{"x":"^1","y":"git+ssh://h"}}'),),
+    (("a.py", "# bypass review\n"), ("Dockerfile", "USER app\nUSER root\nHEALTHCHECK x\n"), ("requirements.txt", "")),
+    ((".env.example", "API_TOKEN=abc\nHOST_NAME=localhost\n"), ("a.py", "os.getenv('NEW_ONE')\n"), ("requirements.txt", "")),
+)
+_BROKEN = ((0, "DB001"), (0, "DB002"), (0, "DB004"), (0, "CFG002"), (0, "CFG002"), (1, "DB003"), (1, "MIG001"), (1, "SUPPLY001"), (2, "MIG010"), (2, "SUPPLY012"), (2, "SUPPLY030"), (3, "SUPPLY040"), (3, "SUPPLY041"), (4, "OWN010"), (4, "DEPLOY012"), (5, "CFG001"), (5, "CFG002"), (5, "CFG002"), (5, "CFG003"), (5, "CFG004"))
+
+
+def gate_findings(spark, sf_dir):
+    """DF-23, DF-24, J-11, P-08 to P-10, P-12 over projects made from the parts; SQL counts the parts."""
+    kinds = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in files]) for files in GATES])
+    files = F.inline(F.get(kinds, (F.col("p_size") % len(GATES)).cast("int")))
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("payload_id"), F.col("p_partkey").cast("string").alias("project_root"), files)
+    found = [S.db_findings(S.db_markers(c)), S.migration_findings(c), S.supply_files(c), S.env_contract(S.env_used(c), S.env_documented(c)), L.file_findings(c)]
+    rules = found[0].select("rule_id")
+    for df in found[1:]:
+        rules = rules.unionByName(df.select("rule_id"))
+    return rules.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _rel(col: str) -> str:
     root = "rtrim(project_root, '/') || '/'"
     plain = f"replace({col}, '\\', '/')"
@@ -151,6 +176,7 @@ _DBL = f"""SELECT *, CASE WHEN env IS NOT NULL THEN 'database_env_contract' WHEN
 _ENVD = f"SELECT DISTINCT project_root, regexp_extract(line, '^\\s*(?:export\\s+)?([A-Z][A-Z0-9_]{{2,}})\\s*=\\s*(.*)$', 1) AS name, regexp_replace(trim(regexp_extract(line, '^\\s*(?:export\\s+)?([A-Z][A-Z0-9_]{{2,}})\\s*=\\s*(.*)$', 2)), '^[\"'']+|[\"'']+$', '', 'g') AS value FROM (SELECT project_root, {_L} AS line FROM file_payloads WHERE regexp_extract(path, '([^/\\\\]+)$', 1) IN ('.env.example', '.env.sample', 'env.example', 'env.sample')) WHERE regexp_matches(line, '^\\s*(?:export\\s+)?[A-Z][A-Z0-9_]{{2,}}\\s*=')"
 _USED = "SELECT DISTINCT project_root, unnest(regexp_extract_all(content, '" + S.ENV_USE.replace("'", "''") + "', 1)) AS name FROM file_payloads"
 ORACLE = {
+    "gate_findings": f"SELECT rule_id, count(*) AS n FROM part JOIN (VALUES {', '.join(map(str, _BROKEN))}) t(k, rule_id) ON p_size % {len(GATES)} = k GROUP BY 1",
     "manifest_diff": f"WITH {_SIDES}, j AS (SELECT coalesce(m.project_root, t.project_root) AS project_root, coalesce(m.path, t.path) AS path, m.project_root IS NOT NULL AS hm, t.project_root IS NOT NULL AS ht, m.s AS ms, t.s AS ts FROM m FULL JOIN t ON m.project_root = t.project_root AND m.path = t.path) SELECT project_root, path, 'MANIFEST002' AS rule_id FROM j WHERE NOT ht UNION ALL SELECT project_root, path, 'MANIFEST005' FROM j WHERE NOT hm UNION ALL SELECT project_root, path, 'MANIFEST003' FROM j WHERE ms.size <> ts.size UNION ALL SELECT project_root, path, 'MANIFEST004' FROM j WHERE ms.sha <> ts.sha",
     "manifest_text": f"WITH {_SIDES} SELECT NULL::VARCHAR AS error, count(*) AS n FROM t WHERE s.size IS NOT NULL",
     "text_hygiene": "SELECT payload_id, rule_id FROM (SELECT payload_id, unnest([CASE WHEN starts_with(c, chr(65279)) AND s IN ('.py','.json','.toml','.xml','.yaml','.yml') THEN 'ENCODING003' END, CASE WHEN contains(c, chr(65533)) THEN 'ENCODING002' END, CASE WHEN (starts_with(c, chr(127) || 'ELF') OR starts_with(c, 'PK' || chr(3) || chr(4)) OR starts_with(c, '%PDF')) AND s IN ('.py','.md','.txt','.json','.toml','.xml','.yaml','.yml','.html','.css','.js','.ts','.tsx','.jsx','.rst','.ini','.cfg') THEN 'CORRUPT002' END, CASE WHEN contains(c, chr(13) || chr(10)) AND contains(replace(c, chr(13) || chr(10), ''), chr(10)) THEN 'LINES001' END, CASE WHEN contains(replace(c, chr(13) || chr(10), ''), chr(13)) THEN 'LINES002' END, CASE WHEN c <> '' AND NOT ends_with(c, chr(10)) AND s IN ('.py','.md','.rst','.txt','.json','.toml','.xml','.yaml','.yml') THEN 'TRUNC001' END, CASE WHEN c = '' THEN 'EMPTY001' END]) AS rule_id FROM (SELECT payload_id, coalesce(content, '') AS c, lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) AS s FROM file_payloads)) WHERE rule_id IS NOT NULL",

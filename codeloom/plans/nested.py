@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.nested_flatten import Layout, child_paths, child_records, child_table, merged_schema
-from codeloom.session import table
+from codeloom.session import kept, table
 
 LONE = frozenset({"edges", "unknown_calls", "markers", "taint_path", "hops", "via"})
 EMBEDDED = frozenset({"evidence", "original"})
@@ -28,15 +28,14 @@ def p2_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call edges as a flat table."""
-    fields = [("caller", "string"), ("callee", "string"), ("raw_call", "string"), ("file", "string"), ("line", "bigint"), ("confidence", "string"), ("kind", "string"), ("evidence.canonical_call", "string"), ("evidence.callsite", "string")]
-    return child_table(child_records(table(spark, sf_dir, "call_graphs"), GRAPH), "edges", fields)
+    """Call edges as a flat table whose fields and types are inferred over all records."""
+    return child_table(kept(child_records(table(spark, sf_dir, "call_graphs"), GRAPH)), "edges")
 
 
 def p2_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops below the edges, joined to the edge they belong to by the parent's path."""
-    children = child_records(table(spark, sf_dir, "call_graphs"), GRAPH)
-    hops = child_table(children, "edges/evidence/hops", [("file", "string"), ("line", "bigint")])
+    children = kept(child_records(table(spark, sf_dir, "call_graphs"), GRAPH))
+    hops = child_table(children, "edges/evidence/hops")
     edges = child_table(children, "edges", [("caller", "string"), ("callee", "string")]).select("root_id", F.col("child_path").alias("parent_path"), "caller", "callee")
     return hops.join(edges, ["root_id", "parent_path"])
 
