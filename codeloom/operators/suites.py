@@ -29,6 +29,26 @@ def suite_inventory(cases: DataFrame) -> DataFrame:
     return cases.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by(df: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """A-18, A-19: ``dimension, value, n`` for each of the dimensions, in one pass of grouping sets."""
+    dimension = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dimensions])
+    value = F.coalesce(*[F.when(F.grouping(d) == 0, F.col(d)) for d in dimensions])
+    sets = df.groupingSets([[F.col(d)] for d in dimensions], *map(F.col, dimensions))
+    return sets.agg(dimension.alias("dimension"), value.alias("value"), F.count(F.lit(1)).alias("n")).select("dimension", "value", "n")
+
+
+# Fixed value: the counts in a test run's summary.
+RUN_COUNT = r"(\d+)\s+(passed|failed|skipped|xfailed|xpassed|errors?|warnings?)"
+
+
+def run_counts(runs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """F-20: ``key, kind, n``: the counts of each kind that a test run's output names, added up."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(RUN_COUNT), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(RUN_COUNT), F.lit(2)).alias("kind"))
+    rows = runs.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("x"))
+    kind = F.regexp_replace("x.kind", r"^error$", "errors")
+    return rows.groupBy(key, F.regexp_replace(kind, r"^warning$", "warnings").alias("kind")).agg(F.sum(F.col("x.n").cast("bigint")).alias("n"))
+
+
 def path_detector(cases: DataFrame) -> DataFrame:
     """Findings of the path-safety predicate, for suites whose payload is a path."""
     from codeloom.functions.paths import unsafe_path

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import rule_id
 from codeloom.operators import governance as G
+from codeloom.operators.suites import counts_by
 from codeloom.session import table
 from codeloom.sinks.reports import annotation_command
 
@@ -133,10 +134,7 @@ def gate_matrix(spark, sf_dir):
 
 def coverage_matrix(spark, sf_dir):
     """A-18: counts by detector, severity and confidence in one pass of grouping sets."""
-    kinds = ("detector", "severity", "confidence")
-    dimension = F.when(F.grouping("detector") == 0, "detector").when(F.grouping("severity") == 0, "severity").otherwise("confidence")
-    sets = _norm(spark, sf_dir).groupingSets([[F.col(k)] for k in kinds], *map(F.col, kinds))
-    return sets.agg(dimension.alias("dimension"), F.coalesce(*kinds).alias("value"), F.count(F.lit(1)).alias("n")).select("dimension", "value", "n")
+    return counts_by(_norm(spark, sf_dir), ("detector", "severity", "confidence"))
 
 
 def trend_dashboard(spark, sf_dir):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import call_graph as C
 from codeloom.operators import drift as D
-from codeloom.operators.python_facts import python_facts
+from codeloom.functions.columns import relative_posix
+from codeloom.operators.python_facts import contract, python_facts
 from codeloom.operators.registries import ambiguities, array_elements
 from codeloom.operators.script_structure import structure_findings
 from codeloom.plans.python_code import kept_facts
@@ -40,6 +41,15 @@ def code_graph_findings(spark, sf_dir):
     return C.graph_findings(C.graph_summary(C.nodes_of(f).select(project), C.edges_of(f).select(project), unknown), unknown, 0.25).groupBy("graph", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def contract_drift(spark, sf_dir):
+    """ST-01 to ST-03 over the scans of the Python files: each scan of a path is a snapshot; one without any check is taken for rejected."""
+    p = table(spark, sf_dir, "file_payloads").withColumn("path", relative_posix(F.col("path"), F.col("project_root")))
+    contracts = contract(kept_facts(spark, sf_dir)).select("payload_id", "signatures", "interface_hash")
+    seq = F.struct("scanned_at", "payload_id").alias("seq")
+    rows = p.select("payload_id", "project_root", "path", seq, D.safety_checks(F.col("content")).alias("safety_checks")).join(contracts, "payload_id")
+    return D.contract_drift(rows.withColumn("verdict", F.when(F.size("safety_checks") == 0, "REJECTED").otherwise("UNKNOWN"))).select("project_root", "path", F.col("seq.payload_id").alias("payload_id"), "rule_id", "severity", "score", "run")
+
+
 def nation_edges(spark, sf_dir):
     """A small directed graph: in each region, every nation leads to the next two by key."""
     n = table(spark, sf_dir, "nation")
@@ -163,4 +173,4 @@ ORACLE = {
     "duplicate_registry_keys": "SELECT p_partkey AS payload_id, '$.ids' AS array_id, 2 AS idx FROM part WHERE p_size % 4 = 0",
     "wildcard_shadowing": "SELECT p_partkey AS payload_id, '$.routes' AS array_id, 1 AS idx FROM part WHERE p_size % 5 = 0",
 }
-QUERIES = {n: globals()[n] for n in [*ORACLE, "code_call_edges", "code_graph_findings", "code_graph_nodes", "code_unknown_calls"]}
+QUERIES = {n: globals()[n] for n in [*ORACLE, "code_call_edges", "contract_drift", "code_graph_findings", "code_graph_nodes", "code_unknown_calls"]}

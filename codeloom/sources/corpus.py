@@ -25,7 +25,7 @@ def project_root(paths: list[str]) -> str:
     return first if os.path.isdir(first) else os.path.dirname(first)
 
 
-TREE = "path string, size bigint, modified timestamp, is_link boolean, data binary"
+TREE = "path string, size bigint, modified timestamp, is_link boolean, data binary, error string"
 
 
 def tree(spark: SparkSession, root: str, largest: int = LARGEST) -> DataFrame:
@@ -34,7 +34,8 @@ def tree(spark: SparkSession, root: str, largest: int = LARGEST) -> DataFrame:
     Spark's own file sources leave out names that begin with a dot or an underscore, package
     initialisers among them, so folders are walked in the tasks: the driver lists only the
     first levels, until there are enough folders to share out. Files beyond ``largest``
-    bytes come without their data; links aren't followed and have none.
+    bytes come without their data; links aren't followed and have none. A file that can't be
+    read is a row with its ``error``.
     """
     units, level = [("", True)], 0
     while level < 3 and len(units) < 4 * spark.sparkContext.defaultParallelism:
@@ -42,27 +43,30 @@ def tree(spark: SparkSession, root: str, largest: int = LARGEST) -> DataFrame:
         units = [x for u, folder in units for x in ([(os.path.join(u, e.name), e.is_dir(follow_symlinks=False)) for e in os.scandir(os.path.join(root, u))] if folder else [(u, False)])]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "size", "modified", "is_link", "data"]
-        types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.binary()]
+        names = ["path", "size", "modified", "is_link", "data", "error"]
+        types = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.bool_(), pa.binary(), pa.string()]
         for b in batches:
             for unit, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, held = [], 0
                 found = ((d, f) for d, _, fs in os.walk(os.path.join(root, unit)) for f in sorted(fs)) if folder else [(os.path.join(root, os.path.dirname(unit)), os.path.basename(unit))]
                 for d, f in found:
                     full = os.path.join(d, f)
-                    st = os.lstat(full)
-                    link = os.path.islink(full)
-                    data = None
-                    if not link and st.st_size <= largest:
-                        with open(full, "rb") as h:
-                            data = h.read()
+                    rel, data = os.path.relpath(full, root).replace(os.sep, "/"), None
+                    try:
+                        st = os.lstat(full)
+                        link = os.path.islink(full)
+                        if not link and st.st_size <= largest:
+                            with open(full, "rb") as h:
+                                data = h.read()
+                        rows.append((rel, st.st_size, datetime.fromtimestamp(st.st_mtime, UTC), link, data, None))
+                    except OSError as e:
+                        rows.append((rel, None, None, False, None, e.strerror or str(e)))
                     held += len(data or b"")
-                    rows.append((os.path.relpath(full, root).replace(os.sep, "/"), st.st_size, datetime.fromtimestamp(st.st_mtime, UTC), link, data))
                     if held > 8_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], names)
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(6)], names)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(6)], names)
 
     if not units:
         return spark.createDataFrame([], TREE)
@@ -74,7 +78,7 @@ def object_tree(spark: SparkSession, root: str) -> DataFrame:
     base = root.rstrip("/") + "/"
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.substr("path", F.locate(base, F.col("path")) + len(base))
-    return df.select(F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("is_link"), F.col("content").alias("data"))
+    return df.select(F.try_url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(False).alias("is_link"), F.col("content").alias("data"), F.lit(None).cast("string").alias("error"))
 
 
 def ignored(path: Column, folders: tuple[str, ...] = IGNORED) -> Column:
@@ -87,9 +91,10 @@ def scanned(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, folders:
 
 
 def routed(files: DataFrame, largest: int = LARGEST) -> DataFrame:
-    """SRC-02, SRC-04: adds ``content`` and ``status``: ``row``, or the reason of a skip: binary, large, encoding, blank."""
+    """SRC-02, SRC-04: adds ``content`` and ``status``: ``row``, ``failed`` for files that can't be read, or the reason of a skip: binary, link, large, encoding, blank."""
     text = F.try_validate_utf8(F.col("data").cast("string"))
-    status = F.when(suffix(F.col("path")).isin(*BINARY), "binary").when(F.col("is_link"), "link").when(F.col("size") > largest, "large").when(text.isNull(), "encoding").when(text.rlike(r"^\s*$"), "blank").otherwise("row")
+    failed = F.col("error").isNotNull() if "error" in files.columns else F.lit(False)
+    status = F.when(failed, "failed").when(suffix(F.col("path")).isin(*BINARY), "binary").when(F.col("is_link"), "link").when(F.col("size") > largest, "large").when(text.isNull(), "encoding").when(text.rlike(r"^\s*$"), "blank").otherwise("row")
     return files.withColumn("status", status).withColumn("content", F.when(F.col("status") == "row", text)).drop("data")
 
 
@@ -99,6 +104,16 @@ def payloads(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTEN
     return r.where("status = 'row'").select(F.lit(root).alias("project_root"), "path", "size", "content"), r.where("status <> 'row'").select("path", F.col("status").alias("reason"))
 
 
+def failure_issues(files: DataFrame) -> DataFrame:
+    """SRC-04: a HIGH Issue for each file of a tree that can't be read."""
+    return files.where("error IS NOT NULL").select(F.col("path").alias("file"), F.lit("Analyzer error").alias("category"), F.lit("HIGH").alias("severity"), F.lit("pipeline").alias("detector"), F.col("error").alias("description"), F.lit(None).cast("int").alias("line_number"), F.lit("high").alias("confidence"))
+
+
+def first_files(files: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """T-02: (the first ``most`` files by path, one row ``truncated``): the budget of a call graph is a feature of it."""
+    return files.orderBy("path").limit(most), files.agg((F.count(F.lit(1)) > most).alias("truncated"))
+
+
 def text_files(files: DataFrame) -> DataFrame:
     """SRC-05: what a text search reads: text suffixes and files named without one."""
     name = F.lower(F.regexp_extract("path", r"([^/]+)$", 1))
