@@ -64,17 +64,40 @@ def suppression_matches(issues: DataFrame, suppressions: DataFrame, key: str = "
     return one.select(key, "idx").unionByName(two.select(key, "idx")).groupBy(key).agg(F.min("idx").alias("idx"))
 
 
+_INLINE = 200  # suppressions up to which a list is one expression
+
+
+def _tagged(issues: DataFrame, suppressions: DataFrame, key: str) -> DataFrame:
+    """The issues with ``idx`` of the first suppression that matches, or null.
+
+    A list of at most 200 suppressions, as people write them, is one expression over each
+    row: nothing is shuffled. A longer one is joined; both give the same.
+    """
+    rows = suppressions.orderBy("idx").limit(_INLINE + 1).collect()
+    if len(rows) > _INLINE:
+        return issues.join(suppression_matches(issues, suppressions, key), key, "left")
+    hit = F.lit(None).cast("int")
+    for r in reversed(rows):
+        any_of = [F.col("fingerprint") == r["fingerprint"]] if r["fingerprint"] else []
+        any_of += [F.startswith("category", F.lit(r["rule_id"] + ":"))] if r["rule_id"] else []
+        if not any_of:
+            continue
+        c = any_of[0] if len(any_of) == 1 else F.coalesce(any_of[0], F.lit(False)) | F.coalesce(any_of[1], F.lit(False))
+        c = c & (F.col("file") == r["file"]) if r["file"] else c
+        hit = F.when(c, F.lit(r["idx"])).otherwise(hit)
+    return issues.withColumn("idx", hit)
+
+
 def apply_suppressions(issues: DataFrame, suppressions: DataFrame, key: str = "issue_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(issues that stay, skipped issues with ``idx``, suppressions that matched nothing first).
 
     A suppression that is expired or invalid still suppresses; one that is always shadowed
     by an earlier one counts as unused.
     """
-    m = suppression_matches(issues, suppressions, key)
-    stay = issues.join(m, key, "left_anti")
-    skipped = issues.join(m, key)
-    unused = suppressions.join(m.select("idx").distinct(), "idx", "left_anti")
-    return stay, skipped, unused
+    tagged = _tagged(issues, suppressions, key)
+    skipped = tagged.where("idx IS NOT NULL")
+    unused = suppressions.join(skipped.select("idx").distinct(), "idx", "left_anti")
+    return tagged.where("idx IS NULL").drop("idx"), skipped, unused
 
 
 def suppression_errors(suppressions: DataFrame, today: Column | None = None) -> DataFrame:

@@ -59,6 +59,18 @@ def test_suppressions_by_every_prefix(spark):
     assert rows(G.suppression_matches(i, s)) == [(1, 0)]
 
 
+def test_long_and_short_lists_of_suppressions_agree(spark):
+    i = spark.createDataFrame([(1, "a.py", "R1:x: y", "f1"), (2, "b.py", "R1:x", "f2"), (3, "c.py", None, "f3"), (4, None, "R2: z", "f4"), (5, "a.py", "R2: z", None)], "issue_id int, file string, category string, fingerprint string")
+    s = G.suppression_frame(spark, [{"rule_id": "R1", "file": "b.py"}, {"rule_id": "R1:x"}, {"fingerprint": "f3", "rule_id": "R9"}, {"rule_id": "R2", "file": "a.py"}, {"owner": "o"}, {"rule_id": "", "fingerprint": ""}])
+    short = [rows(x.select("idx") if "issue_id" not in x.columns else x.select("issue_id")) for x in G.apply_suppressions(i, s)]
+    G._INLINE, was = 2, G._INLINE
+    try:
+        long = [rows(x.select("idx") if "issue_id" not in x.columns else x.select("issue_id")) for x in G.apply_suppressions(i, s)]
+    finally:
+        G._INLINE = was
+    assert short == long == [[(4,)], [(1,), (2,), (3,), (5,)], [(4,), (5,)]]
+
+
 def test_queues_and_maturity(spark):
     d = spark.createDataFrame([("CRITICAL", "x"), ("HIGH", "python_dataflow"), ("HIGH", "x"), ("HIGH", None), ("LOW", "x")], "s string, d string")
     assert [r[0] for r in d.select(G.review_queue(F.col("s"), F.col("d"))).collect()] == ["P0", "P0", "P1", "P1", "P2"]
