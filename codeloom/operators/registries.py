@@ -126,8 +126,10 @@ def ambiguities(elements: DataFrame) -> DataFrame:
     objects = elements.where("kind = 'object'").select(*key, "idx", get("subject", "role", "user").alias("who"), get("action", "method").alias("what"), get("resource", "path", "route").alias("where"), get("effect", "access").alias("effect"), "fields")
     effects = objects.where(F.col("effect").isin("allow", "deny")).groupBy(*key, "who", "what", "where", "effect").agg(F.min("idx").alias("i"))
     clash = effects.groupBy(*key, "who", "what", "where").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("idx")).where("n = 2").select(*key, "idx", F.lit("ARR004").alias("rule_id"))
-    wild = objects.where(F.col("where").isin("*", "/*", "**")).groupBy(*key, "who", "what").agg(F.min("idx").alias("_w"))
-    shadow = objects.where(~F.col("where").isin("*", "/*", "**", "<any>")).join(wild, [*key, "who", "what"]).where("idx > _w").select(*key, "idx", F.lit("ARR005").alias("rule_id"))
+    # A window and not a join: Spark takes the entries for far smaller than they are and would send them all through the driver.
+    wild = F.col("where").isin("*", "/*", "**")
+    first_wild = F.min(F.when(wild, F.col("idx"))).over(Window.partitionBy(*key, "who", "what"))
+    shadow = objects.where(F.col("payload_id").isNotNull() & (F.col("where") != "<any>")).withColumn("_w", first_wild).where(~wild & (F.col("idx") > F.col("_w"))).select(*key, "idx", F.lit("ARR005").alias("rule_id"))
     flags = objects.select(*key, "idx", "who", "what", "where", F.explode("fields").alias("flag", "value")).where(F.lower("value").isin("true", "false"))
     was = F.lag(F.lower("value")).over(Window.partitionBy(*key, "who", "what", "where", "flag").orderBy("idx"))
     flips = flags.withColumn("_was", was).where((F.col("_was") != F.lower("value")) & ((F.col("who") != "<any>") | (F.col("where") != "<any>"))).select(*key, "idx", F.lit("ARR008").alias("rule_id")).distinct()

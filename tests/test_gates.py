@@ -121,6 +121,17 @@ def test_registries_in_scripts(spark):
     assert ambiguities(array_elements(_corpus(spark, ("a.py", "rules = ['', '', None, None]\n")))).count() == 0
 
 
+def test_entries_behind_a_wildcard_need_no_join(spark):
+    entry = lambda who, where: {"role": who, "resource": where}
+    a = [entry("r", "/early"), entry("r", "*"), entry("s", "/other"), entry("R", "/late"), entry("r", "/*"), {"role": "r"}, entry("r", "/later")]
+    b = {"x": [entry("r", "*")], "y": [entry("r", "/a"), {"resource": "**"}, {"path": "/b"}, entry("r", "/c")]}
+    df = spark.createDataFrame([(1, "a.json", json.dumps(a)), (2, "b.json", json.dumps(b)), (None, "c.json", json.dumps(a))], "payload_id bigint, path string, content string")
+    found = ambiguities(array_elements(df)).where("rule_id = 'ARR005'")
+    assert rows(found.select("payload_id", "array_id", "idx")) == [(1, "$", 3), (1, "$", 6), (2, "$.y", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
 def test_bytes_and_links(spark):
     d = spark.createDataFrame([(1, "a.py", None, bytearray(b"\xff\xfe")), (2, "b.md", "%PDF-1\n", bytearray(b"%PDF-1\n")), (3, "c.go", "x", bytearray(b"x"))], "id int, path string, content string, data binary")
     assert rows(I.hygiene(d, ["id"])) == [(1, "EMPTY001"), (1, "ENCODING001"), (2, "CORRUPT002")]
